@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, ogg, perplexity
+from . import bpe, chat, langid, mixing, ogg, perplexity, sigtree
 
 #: The vocabulary of the encoding query, in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -43,12 +43,16 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.join(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_perplexity, op2_chat_format, op3_bpe_round_trip, op5_language_profiles, op7_ogg_media, op10_mix_sources]
+    own = [op1_quality_perplexity, op2_chat_format, op3_bpe_round_trip, op5_language_profiles, op7_ogg_media, op8_jaccard_join, op10_mix_sources]
     return {f.__name__: f for f in own}
 
 
