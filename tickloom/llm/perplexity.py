@@ -224,12 +224,12 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     full = np.searchsorted(words.start, stop) > np.searchsorted(words.start, start)
     start, stop = start[full], stop[full]
     doc = np.searchsorted(bounds, start, "right") - 1
-    key = _per_doc(words.spans(start, stop), doc)
+    key = per_doc(words.spans(start, stop), doc)
     _, once = np.unique(key, return_index=True)
     out["n_dup_lines"] = np.bincount(doc, minlength=n) - np.bincount(doc[once], minlength=n)
 
     at, h = words.windows(words.hashes(), REPEAT_WINDOW)
-    key = _per_doc(h, words.doc[at])
+    key = per_doc(h, words.doc[at])
     ordered = np.sort(key)
     again = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     step = np.zeros(len(words.start) + 1, np.int64)
@@ -242,7 +242,7 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _per_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def per_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return h ^ ((doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
