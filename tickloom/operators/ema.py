@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 
 def decay(period_or_alpha: float) -> float:
     """The weight of a new value, from that weight itself (below 1) or a period of rows."""
@@ -23,6 +25,7 @@ def ema(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, t
     Rows are dealt out by key and sorted, then read once in batches: a key may be longer
     than memory.  Without keys there is one sequence, hence one task.
     """
+    ship(rows.sparkSession)
     by = [F.col(k) for k in keys]
     dealt = rows.repartition(*by) if by else rows.coalesce(1)
     ordered = dealt.sortWithinPartitions(*by, *order)
