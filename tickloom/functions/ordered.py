@@ -81,7 +81,7 @@ def trade_returns(time: str, t1: str, t2: str, price: str, side: str, size: str)
     return Ordered(f"{time}, {t1}, {t2}", [first, second], f"array({', '.join(f'CAST({p} AS DOUBLE)' for p in parts)})")
 
 
-def trade_reversal(ahead: str, level: str, time: str, t1: str, t2: str, price: str, size: str) -> Ordered:
+def trade_reversal(ahead: str, level: str, time: str, t1: str, t2: str, price: str, side: str, size: str) -> Ordered:
     notional = f"abs(({size}) * ({price}))"
     first = {"_a{k}": f"lead({price}, {ahead}) {{over}}", "_p{k}": f"percentile({notional}, {level}) {{all}}"}
     return Ordered(f"{time}, {t1}, {t2}", [first], f"avg(CASE WHEN {notional} >= _p{{k}} AND ({price}) <> 0 AND _a{{k}} IS NOT NULL THEN _a{{k}} / ({price}) - 1 END)")

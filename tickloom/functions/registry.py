@@ -235,7 +235,14 @@ def kurtosis(x: str) -> str:
     return f"CASE WHEN {n} > 3 AND var_pop({x}) > 0 THEN ({n} - 1D) / (({n} - 2D) * ({n} - 3D)) * (({n} + 1D) * kurtosis({x}) + 6D) END"
 
 
+def sample_moment(name: str, power: str, plus: str) -> Text:
+    """A moment ratio over the sample variance instead of the population's."""
+    return lambda x: f"(({name}({x}) + {plus}) * pow((count({x}) - 1D) / count({x}), {power}))"
+
+
 AGGREGATES: dict[str, Text] = {
+    "skew_samp": sample_moment("skewness", "1.5D", "0D"),
+    "kurt_samp": sample_moment("kurtosis", "2D", "3D"),
     "sum": lambda x: f"sum({x})",
     "avg": lambda x: f"avg({x})",
     "min": lambda x: f"min({x})",

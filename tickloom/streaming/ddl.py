@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Session
-from ..sql.emit import spark_type
-from ..sql.parser import Parser, SqlError, parse, walk
+from ..sql.emit import Emit, quoted, spark_type
+from ..sql.parser import Node, Parser, SqlError, parse, walk
 
 #: Settings that external streams may have; those of storage mean nothing here.
 SETTINGS = {
@@ -74,6 +74,10 @@ def statements(text: str) -> list[str]:
     return out
 
 
+def expression(text: str) -> Node:
+    return Parser(text).expr()
+
+
 class Pipeline:
     """A pipeline's declarations, checked."""
 
@@ -96,7 +100,7 @@ class Pipeline:
     @property
     def sources(self) -> list[str]:
         written = {v.target.lower() for v in self.views}
-        return [n for n, s in self.streams.items() if s.kind == "external" and n not in written]
+        return [n for n, s in self.streams.items() if s.kind != "table" and n not in written]
 
     @property
     def sinks(self) -> list[str]:
@@ -144,7 +148,7 @@ class Pipeline:
                 out.partition_by = [n.parts[-1] for n in walk(e) if n.kind == "col"]
             elif p.take("SETTINGS"):
                 out.settings = self.settings(p)
-                if kind != "stream":
+                if kind == "external":
                     unknown = set(out.settings) - SETTINGS
                     if unknown:
                         raise SqlError(f"stream {name}: unknown setting {sorted(unknown)[0]}")
@@ -165,8 +169,6 @@ class Pipeline:
     @staticmethod
     def column(p: Parser) -> Column:
         name, kind = p.name(), p.type_name()
-        while p.now.text == "(":
-            p.next()
         out = Column(name, kind)
         if p.now.upper in ("MATERIALIZED", "DEFAULT"):
             out.materialized = p.next().upper == "MATERIALIZED"
@@ -193,13 +195,14 @@ class Pipeline:
     def typed(self, name: str, df: DataFrame) -> DataFrame:
         """Rows as a stream's columns: by name, cast, with defaults for what is missing or null."""
         have = {c.lower(): c for c in df.columns}
+        emit = Emit(lambda n: quoted(have.get(n.parts[-1].lower(), n.parts[-1])))
         out = []
         for c in self.streams[name.lower()].columns:
             kind = spark_type(c.type)
             absent = f"CAST({DEFAULTS.get(kind, '0')} AS {kind})" if not kind.startswith(("ARRAY", "MAP")) else f"CAST(NULL AS {kind})"
-            given = c.default if c.default else ("NULL" if c.nullable else absent)
+            given = emit(expression(c.default)) if c.default else ("NULL" if c.nullable else absent)
             if c.materialized or c.name.lower() not in have:
-                e = F.expr(f"try_cast({given} AS {kind})") if given != "NULL" else F.lit(None).cast(kind.lower())
+                e = F.expr(given).cast(kind.lower()) if given != "NULL" else F.lit(None).cast(kind.lower())
             else:
                 e = F.expr(f"try_cast(`{have[c.name.lower()]}` AS {kind})")
             if not c.nullable and not kind.startswith(("ARRAY", "MAP")):
