@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import fresh, ship, slices, utf8
 
 #: Pre-tokens of which a worker remembers the ids, and the longest such one in characters.
-MEMORY = 400_000
+MEMORY = 1_000_000
 MEMORABLE = 48
 
 
