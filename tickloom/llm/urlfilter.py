@@ -91,13 +91,18 @@ def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
     return list(model["w"]), float(model["b"])
 
 
-def margin(text: Column, weights: list[float], bias: float) -> Column:
-    """Log odds of block."""
+def margin(own: Column, weights: list[float], bias: float) -> Column:
+    """Log odds of block, from the buckets of a text's n-grams."""
     w = F.array(*map(F.lit, weights))
-    own = buckets(text)
     total = F.aggregate(own, F.lit(0.0), lambda a, k: a + F.get(w, k))
-    # Of the counts of a few buckets, the squares sum to the number of equal pairs.
-    square = F.aggregate(own, F.lit(0.0), lambda a, k: a + F.size(F.filter(own, lambda x: x == k)))
+    # The squared length: along the sorted buckets the c-th equal one adds 2c - 1, in all c * c.
+    start = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("c"), F.lit(0).alias("s"))
+
+    def one(a: Column, k: Column) -> Column:
+        c = F.when(a["k"] == k, a["c"] + 1).otherwise(F.lit(1))
+        return F.struct(k.alias("k"), c.alias("c"), (a["s"] + 2 * c - 1).alias("s"))
+
+    square = F.aggregate(F.sort_array(own), start, one, lambda a: a["s"])
     return F.lit(bias) + F.when(square > 0, total / F.sqrt(square)).otherwise(F.lit(0.0))
 
 
@@ -117,7 +122,9 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", fitting(F.col("host"), F.col("path"), rules))
-    model = F.when(margin(F.concat("host", "path"), weights, bias) >= 0, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    # The model sees only what no rule fits; its buckets are worked out once.
+    rows = rows.withColumn("own", F.when(F.col("hit").isNull(), buckets(F.concat("host", "path"))))
+    model = F.when(margin(F.col("own"), weights, bias) >= 0, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), model).alias("verdict"))
 
 
