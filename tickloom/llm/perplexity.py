@@ -6,7 +6,8 @@ counts as one of 64 classes (`classes`): letters a to z each, capitals,
 digits, groups of punctuation, and other letters by code point.  64 classes
 bound the model: at most 64^4 n-grams, whatever the corpus, so it can be
 collected and broadcast.  Spark counts the n-grams of all documents; the
-estimated model is stored per order in arrays sorted by n-gram hash.
+estimated model, without the long n-grams that occur once, is stored per order in
+arrays sorted by n-gram hash.
 
 Each language gets a band of bits per character from the distribution over all
 its documents: the quartiles, widened by `FENCE` interquartile ranges.  A
@@ -35,6 +36,8 @@ from .common import Words, distinct, fresh, settled, ship, slices, table, utf8
 
 ORDER = 4
 CLASSES = 64
+#: From this order on n-grams that the corpus has once are pruned.
+PRUNED_FROM = 3
 #: Base rules: fewest words, and the largest share of words in repeated windows.
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -127,21 +130,25 @@ class Model:
         self.keys: list[np.ndarray] = []
         self.log2: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
-        tables = [(codes, counts)]
+        tables = [(codes, counts, counts)]
         for k in range(ORDER - 1, 0, -1):  # below the highest order: how many symbols precede
-            tables.insert(0, np.unique(tables[0][0] & np.uint32((1 << (6 * k)) - 1), return_counts=True))
+            above, _, seen = tables[0]
+            own, where, n = np.unique(above & np.uint32((1 << (6 * k)) - 1), return_inverse=True, return_counts=True)
+            tables.insert(0, (own, n, np.bincount(where, seen)))
         lower = np.full(1, weight)
         lower_codes = np.zeros(1, np.uint32)
-        for k, (own, n) in enumerate(tables, 1):
-            cut = discounts(n)[np.minimum(n, 3)]
-            context = own >> np.uint32(6)
-            gamma_codes, where = np.unique(context, return_inverse=True)
+        for k, (own, n, seen) in enumerate(tables, 1):
+            # A long n-gram seen once says nothing of the text that it was seen in: it isn't
+            # stored, and what it would get goes to the shorter ones.
+            kept = (seen > 1) | (k < PRUNED_FROM)
+            cut = np.where(kept, discounts(n)[np.minimum(n, 3)], n)
+            gamma_codes, where = np.unique(own >> np.uint32(6), return_inverse=True)
             total = np.bincount(where, n)
             gamma = np.bincount(where, cut) / total
             shorter = own & np.uint32((1 << (6 * (k - 1))) - 1)
             below = lower[np.searchsorted(lower_codes, shorter)] if k > 1 else np.full(len(own), weight)
             prob = (n - cut) / total[where] + gamma[where] * below
-            self._add(k, own, prob, gamma_codes, gamma)
+            self._add(k, own[kept], prob[kept], gamma_codes, gamma)
             lower, lower_codes = prob, own
 
     def _add(self, k: int, own: np.ndarray, prob: np.ndarray, contexts: np.ndarray, gamma: np.ndarray) -> None:
