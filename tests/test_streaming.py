@@ -83,3 +83,35 @@ def test_pipeline(spark):
 def test_pipelines_are_checked(change, message):
     with pytest.raises(SqlError, match=message):
         Pipeline(PIPELINE.replace(*change))
+
+
+def test_running_columns_and_books_over_streams(spark, events, tmp_path):
+    from tickloom.streaming.carried import orderbook_stream, running
+
+    df, path = events
+    rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    made = running(rows, ["k"], ["ts"], {"before": ("lag", "v"), "total": ("sum", "v"), "n": ("count",), "e": ("ema", "v", 3), "top": ("max", "v")})
+    made.writeStream.format("memory").queryName("running_test").option("checkpointLocation", str(tmp_path / "r")).trigger(availableNow=True).start().awaitTermination()
+    s = Session(spark)
+    s.register("e", df)
+    want = s.query("SELECT ts, k, v, lag(v) OVER w AS before, sum(v) OVER w AS total, count(*) OVER w AS n, ema(v, 3) OVER w AS e, max(v) OVER w AS top FROM e WINDOW w AS (PARTITION BY k ORDER BY ts)")
+    assert sorted(map(repr, spark.table("running_test").collect())) == sorted(map(repr, want.collect()))
+
+    from tickloom.operators.orderbook import orderbook_top_n
+
+    kinds = "exchange long, symbol string, is_snapshot boolean, time long, venue_sequence long, bid_price array<double>, bid_amount array<double>, ask_price array<double>, ask_amount array<double>, local_timestamp long"
+    moves = [(1, "A", True, 1, 1, [10.0, 9.0], [1.0, 2.0], [11.0], [1.0], 1), (1, "A", False, 2, 2, [10.0], [0.0], [], [], 2), (1, "A", False, 3, 3, [], [], [12.0], [4.0], 3)]
+    updates = spark.createDataFrame(moves, kinds)
+    updates.coalesce(1).write.parquet(str(tmp_path / "book"))
+    out = orderbook_stream(spark.readStream.schema(updates.schema).parquet(str(tmp_path / "book")), 2)
+    out.writeStream.format("memory").queryName("book_test").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(repr, spark.table("book_test").collect())) == sorted(map(repr, orderbook_top_n(updates, 2).collect()))
+
+
+def test_backfill_over_files(spark, tmp_path):
+    from tickloom.streaming.ddl import backfill
+
+    (tmp_path / "t.csv").write_text("at,sym,px\n2024-01-01T00:00:01,A,1\n2024-01-01T00:00:02,A,0\n2024-01-01T00:01:01,B,5\n")
+    made = backfill(Session(spark, str(tmp_path)), PIPELINE, {"trades": "t.csv"}, str(tmp_path / "out"), columns={"trades": {"time": "at", "symbol": "sym", "price": "px"}}, where={"trades": "px > 0"})
+    got = spark.read.parquet(made["bars"]).select("symbol", "n", "top").collect()
+    assert sorted(map(tuple, got)) == [("A", 1, 2.0), ("B", 1, 10.0)]

@@ -235,3 +235,39 @@ def validate(text: str) -> dict[str, list[str]]:
     return {"sources": p.sources, "sinks": p.sinks}
 
 
+
+
+def mapped(df: DataFrame, columns: dict[str, str], where: str | None = None) -> DataFrame:
+    """Rows laid out otherwise, as a source's columns: name to an expression of the dialect."""
+    emit = Emit(lambda n: quoted(n.parts[-1]))
+    if where:
+        df = df.where(emit(expression(where)))
+    kept = [quoted(c) for c in df.columns if c not in columns]
+    return df.select(*kept, *[F.expr(emit(expression(e))).alias(c) for c, e in columns.items()])
+
+
+def backfill(
+    session: Session,
+    text: str,
+    sources: dict[str, str],
+    out: str,
+    *,
+    columns: dict[str, dict[str, str]] | None = None,
+    where: dict[str, str] | None = None,
+    partition_by: str | None = "symbol",
+    fmt: str = "parquet",
+) -> dict[str, str]:
+    """Runs a pipeline over files: source name to path or glob.  Each sink becomes a directory
+    under `out`, split by `partition_by` where the sink has that column; Spark marks a whole
+    one with _SUCCESS.  columns, where: per source, how its files' columns and rows map."""
+    p = Pipeline(text)
+    rows = {}
+    for name, path in sources.items():
+        df = session.read(path, None, {})
+        rows[name] = p.typed(name, mapped(df, (columns or {}).get(name, {}), (where or {}).get(name)))
+    made = {}
+    for sink, df in p.build(session, rows).items():
+        made[sink] = f"{out.rstrip('/')}/{sink}"
+        w = df.write.mode("overwrite").format(fmt)
+        (w.partitionBy(partition_by) if partition_by in df.columns else w).save(made[sink])
+    return made
