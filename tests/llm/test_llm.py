@@ -336,9 +336,9 @@ def components(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
 def family(rng, n, copies, edits):
@@ -352,17 +352,17 @@ def family(rng, n, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [sigtree.BLOCK, 600])
-def test_jaccard_join_is_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "m"), [(sigtree.BLOCK, sigtree.QUERY), (600, sigtree.QUERY), (600, sigtree.STAGE)])
+def test_jaccard_join_is_brute_force(spark, block, m):
     rng = random.Random(9)
     passage = " ".join(f"p{k}" for k in range(60))
     texts = [*ODD, "ONE two three", "one two", "A b C d", "a b c d", *family(rng, 120, 40, 5), *family(rng, 50, 30, 3), *family(rng, 300, 8, 12)]
     texts += [f"{passage} {t}" for t in family(rng, 40, 1, 0) + family(rng, 200, 2, 9)] + [passage + f" tail{k}" for k in range(5)] + [passage] * 3
     rng.shuffle(texts)
-    sets = [shingles(t) for t in texts]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    sets = [shingles(t, m.words) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= m.link * len(sets[i] | sets[j])]
     want = components(pairs, range(len(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.join(docs(spark, texts), block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.join(docs(spark, texts), m, block).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
 
 
@@ -381,7 +381,7 @@ def test_tree_join_is_brute_force():
         pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (not two or sides[i] != sides[j]) and 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])]
         if sides.all():
             continue
-        root = sigtree.Join(sets, sides).root
+        root = sigtree.Join(sets, sides, 85).root
         want = components(pairs, range(len(sets)))
         assert {i: j for i, j in enumerate(root)} == want
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by signature trees.
 
 Documents are sets of word shingles; two link when their Jaccard similarity
-reaches `LINK` per cent.  The join is exact, in three steps:
+reaches a given per cent (`Measure`).  The join is exact, in three steps:
 
 1. Candidates.  Shingles have one global order: the corpus's most frequent ones
    last, else by hash.  A set of n shingles of which a partner must share o has
@@ -21,8 +21,8 @@ reaches `LINK` per cent.  The join is exact, in three steps:
 
 Links become connected components.  Equal sets are one node from the start.
 
-Defined cases: null and empty texts have no shingle and link with nothing; under
-`WORDS` words the whole sequence is one shingle.  Rows without doc_id get no
+Defined cases: null and empty texts have no shingle and link with nothing; of
+fewer words than a shingle has, the whole sequence is one.  Rows without doc_id get no
 component (and are no one's partner).  Rows that share a doc_id are one node that
 has each one's links.
 """
@@ -30,7 +30,9 @@ has each one's links.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,6 @@ from pyspark.sql import functions as F
 from .common import Words, distinct, lower_ascii, mix, settled, ship, slices, table, utf8
 from .graph import components
 
-WORDS = 4
-LINK = 85
 #: Prefix shingles that partners must share: this share of the set.
 COMMON = 0.05
 #: Largest group of which all pairs are counted.
@@ -51,14 +51,40 @@ GROUP = 32
 FREQUENT, FREQUENT_LEAST = 0.001, 16
 #: Shingles of a block of a large cluster.
 BLOCK = 500_000
-#: Set sizes of linked sets differ by one size class at most.
-SIZE_CLASS = 1 / 0.84
 FAN, CHUNK = 8, 8192
 #: Shingles a task holds while it counts.
 HELD = 2_000_000
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
+@dataclass(frozen=True)
+class Measure:
+    """What makes documents partners: words of a shingle, and the least Jaccard per cent."""
+
+    words: int = 4
+    link: int = 85
+
+    def need(self, n: int) -> int:
+        """The least overlap with any partner of a set of n."""
+        return (self.link * n + 99) // 100
+
+    def common(self, n: int) -> int:
+        """The prefix shingles that a set of n shares with any partner that shares as many."""
+        return min(max(1, math.ceil(COMMON * n)), self.need(n))
+
+    def common_sql(self, n: str) -> str:
+        return f"least(greatest(1, ceil({n} * {COMMON}D)), ({n} * {self.link} + 99) DIV 100)"
+
+    @property
+    def size_class(self) -> float:
+        """Set sizes of partners differ by one class of this ratio at most."""
+        return 100 / (self.link - 1)
+
+
+#: The measure of the registered query, and that of pipelines.
+QUERY, STAGE = Measure(4, 85), Measure(5, 80)
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
     words = Words(lower_ascii(data), bounds)
     h = words.hashes()
@@ -74,63 +100,57 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> list[n
     return out
 
 
-def need(n: np.ndarray | int) -> np.ndarray | int:
-    """The least overlap with any partner of a set of n."""
-    return (LINK * n + 99) // 100
-
-
-def common(n: int) -> int:
-    """The prefix shingles that a set of n shares with any partner that shares as many."""
-    return min(max(1, int(np.ceil(COMMON * n))), need(n))
-
+def _counted(m: Measure):
+    """Shingles that are frequent in a task, with their counts (too low by what was pruned)."""
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that are frequent in this task, with their counts (too low by what was pruned)."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held: list[np.ndarray] = []
-    docs = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        docs = 0
+
+        def merge() -> None:
+            nonlocal keys, counts
+            if not held:
+                return
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            both = distinct(np.concatenate([keys, own]))
+            total = np.zeros(len(both), np.int64)
+            total[np.searchsorted(both, keys)] += counts
+            total[np.searchsorted(both, own)] += n
+            if len(both) > HELD:
+                kept = total > max(1, FREQUENT / 4 * docs)
+                both, total = both[kept], total[kept]
+            keys, counts = both, total
 
-    def merge() -> None:
-        nonlocal keys, counts
-        if not held:
-            return
-        own, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        both = distinct(np.concatenate([keys, own]))
-        total = np.zeros(len(both), np.int64)
-        total[np.searchsorted(both, keys)] += counts
-        total[np.searchsorted(both, own)] += n
-        if len(both) > HELD:
-            kept = total > max(1, FREQUENT / 4 * docs)
-            both, total = both[kept], total[kept]
-        keys, counts = both, total
+        for batch in batches:
+            data, bounds = utf8(batch.column(0))
+            for i, j in slices(bounds):
+                held += shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], m.words)
+                docs += j - i
+                if sum(map(len, held)) > HELD:
+                    merge()
+        merge()
+        kept = counts >= max(3, FREQUENT / 2 * docs)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(counts[kept])], ["shingle", "n"])
 
-    for batch in batches:
-        data, bounds = utf8(batch.column(0))
-        for i, j in slices(bounds):
-            held += shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            docs += j - i
-            if sum(map(len, held)) > HELD:
-                merge()
-    merge()
-    kept = counts >= max(3, FREQUENT / 2 * docs)
-    yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(counts[kept])], ["shingle", "n"])
+    return run
 
 
-def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
+def frequent(docs: DataFrame, m: Measure, text: str = "text") -> np.ndarray:
     """The corpus's most frequent shingles, sorted."""
     least = max(FREQUENT_LEAST, FREQUENT * docs.count())
-    rows = docs.select(text).mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = docs.select(text).mapInArrow(_counted(m), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(rows.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
 
-def _profiled(last):
+def _profiled(last, m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = last.value
         for batch in batches:
             data, bounds = utf8(batch.column(1))
             for i, j in slices(bounds):
-                sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], m.words)
                 name, prefix = [], []
                 for s in sets:
                     name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -138,7 +158,7 @@ def _profiled(last):
                     if n and len(often):
                         late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         s = np.concatenate([s[~late], s[late]])
-                    prefix.append(s[: n - need(n) + common(n)].view(np.int64) if n else s.view(np.int64))
+                    prefix.append(s[: n - m.need(n) + m.common(n)].view(np.int64) if n else s.view(np.int64))
                 size = np.array([len(s) for s in sets], np.int32)
                 cut = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefix)))
@@ -150,39 +170,36 @@ def _profiled(last):
     return run
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, m: Measure) -> DataFrame:
     """doc_id, n (the set's size), set (a 128-bit name of the set) and prefix of each document."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    last = spark.sparkContext.broadcast(frequent(texts))
-    return table(texts.mapInArrow(_profiled(last), f"doc_id {kind}, n int, set binary, prefix array<long>"), "shingles")
+    last = spark.sparkContext.broadcast(frequent(texts, m))
+    return table(texts.mapInArrow(_profiled(last, m), f"doc_id {kind}, n int, set binary, prefix array<long>"), "shingles")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+def candidates(sets: DataFrame, m: Measure) -> DataFrame:
     """Pairs a, b of doc_ids that may link, or chain documents that may; from doc_id, n and
     prefix of one document for each set."""
     rows = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
     sized = rows.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
     rows = table(rows.join(sized, "shingle"), "grouped")
-    need_common = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") * COMMON)), F.floor((F.col("n") * LINK + 99) / 100)).cast("long")
-
     wide = rows.where(F.col("size") > GROUP)
-    heavy = settled(wide.groupBy("doc_id").agg(F.count("*").alias("h"), F.first("n").alias("n")).withColumn("l", need_common))
+    heavy = settled(wide.groupBy("doc_id").agg(F.count("*").alias("h"), F.first("n").alias("n")).withColumn("l", F.expr(m.common_sql("n"))))
 
     member = F.struct("doc_id", "n")
     group = rows.where(F.col("size") <= GROUP).groupBy("shingle").agg(F.sort_array(F.collect_list(member)).alias("g"))
     pair = F.expr(f"""
         filter(
           flatten(transform(g, (x, i) -> transform(slice(g, i + 2, {GROUP}), y -> struct(x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb)))),
-          p -> p.a < p.b AND 100L * least(p.na, p.nb) >= {LINK}L * greatest(p.na, p.nb))""")
+          p -> p.a < p.b AND 100L * least(p.na, p.nb) >= {m.link}L * greatest(p.na, p.nb))""")
     pairs = group.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("s"), F.first("p.na").alias("na"), F.first("p.nb").alias("nb"))
     for side in "ab":
         h = heavy.select(F.col("doc_id").alias(side), F.col("h").alias(f"h{side}"))
         pairs = pairs.join(h, side, "left")
-    least_n = F.least("na", "nb").alias("n")
-    enough = F.least(F.greatest(F.lit(1), F.ceil(least_n * COMMON)), F.floor((least_n * LINK + 99) / 100))
+    enough = F.expr(m.common_sql("least(na, nb)"))
     pairs = pairs.where(F.col("s") >= enough - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))).select("a", "b")
 
     alone = wide.join(heavy.where("h >= l").select("doc_id"), "doc_id").select("doc_id", "shingle")
@@ -191,10 +208,10 @@ def candidates(sets: DataFrame) -> DataFrame:
     return pairs.unionByName(chains)
 
 
-def units(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+def units(clusters: DataFrame, m: Measure, block: int = BLOCK) -> DataFrame:
     """doc_id, unit (a string) and side: what goes to a task together.  In units with sides
     0 and 1 only sets of different sides are compared.  clusters: doc_id, n, cluster."""
-    rows = clusters.withColumn("c", F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS))).cast("int"))
+    rows = clusters.withColumn("c", F.floor(F.log("n") / F.log(F.lit(m.size_class))).cast("int"))
     sums = rows.groupBy("cluster", "c").agg(F.sum("n").alias("w"))
     whole = sums.groupBy("cluster").agg(F.sum("w").alias("total"))
     parts = sums.join(whole.where(F.col("total") > block), "cluster").withColumn("k", F.ceil(2 * F.col("w") / block).cast("int"))
@@ -235,7 +252,8 @@ class Tree:
 class Join:
     """The components of sets under Jaccard links."""
 
-    def __init__(self, sets: list[np.ndarray], sides: np.ndarray) -> None:
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray, link: int) -> None:
+        self.link = link
         self.size = np.array([len(s) for s in sets], np.int64)
         self.cut = np.concatenate([[0], np.cumsum(self.size)])
         _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -268,8 +286,8 @@ class Join:
             maps, low, high, slack = tree.levels[level]
             most = np.bitwise_count(maps[a] & maps[b]).sum(1, dtype=np.int64) + np.minimum(slack[a], slack[b])
             most = np.minimum(most, np.minimum(high[a], high[b]))
-            keep = (100 + LINK) * most >= LINK * (low[a] + low[b])
-            keep &= (100 * high[a] >= LINK * low[b]) & (100 * high[b] >= LINK * low[a])
+            keep = (100 + self.link) * most >= self.link * (low[a] + low[b])
+            keep &= (100 * high[a] >= self.link * low[b]) & (100 * high[b] >= self.link * low[a])
             if not level:
                 keep &= a != b
             a, b = a[keep], b[keep]
@@ -306,17 +324,16 @@ class Join:
             got = self.mark[np.concatenate([self.flat[self.cut[o] : self.cut[o + 1]] for o in others])]
             shared = np.add.reduceat(got.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             self.mark[own] = False
-            linked = others[100 * shared >= LINK * (self.size[x] + sizes - shared)]
+            linked = others[100 * shared >= self.link * (self.size[x] + sizes - shared)]
             if len(linked):
                 roots = np.unique(self.root[np.append(linked, x)])
                 self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(m: Measure):
     """Links a, b of each unit: a set's document and the first one of its component."""
-    name, held = None, []
 
-    def links() -> Iterator[pa.RecordBatch]:
+    def linked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sides, texts = [], [], []
         for part in held:
             ids.append(part.column(0))
@@ -326,46 +343,50 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.chunked_array(ids).to_numpy()
         sets = []
         for i, j in slices(bounds):
-            sets += shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            sets += shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], m.words)
         full = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
         if len(full) > 1:
-            root = full[Join([sets[k] for k in full], np.concatenate(sides)[full]).root]
+            root = full[Join([sets[k] for k in full], np.concatenate(sides)[full], m.link).root]
             away = root != full
             yield pa.RecordBatch.from_arrays([pa.array(ids[full[away]]), pa.array(ids[root[away]])], ["a", "b"])
 
-    for batch in batches:
-        keys = batch.column(1).to_pylist()
-        start = 0
-        for k in range(len(keys) + 1):
-            if k == len(keys) or keys[k] != name:
-                if k > start:
-                    held.append(batch.slice(start, k - start))
-                start = k
-                if k < len(keys):
-                    if held:
-                        yield from links()
-                    name, held = keys[k], []
-    if held:
-        yield from links()
-
-
-def links(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            start = 0
+            for k in range(len(keys) + 1):
+                if k == len(keys) or keys[k] != name:
+                    if k > start:
+                        held.append(batch.slice(start, k - start))
+                    start = k
+                    if k < len(keys):
+                        if held:
+                            yield from linked(held)
+                        name, held = keys[k], []
+        if held:
+            yield from linked(held)
+
+    return run
+
+
+def links(docs: DataFrame, parts: DataFrame, m: Measure) -> DataFrame:
     """Links a, b that connect all linked documents of the units."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(parts, "doc_id").select("doc_id", "unit", "side", "text")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined, f"a {kind}, b {kind}")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined(m), f"a {kind}, b {kind}")
 
 
-def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, m: Measure = QUERY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that it reaches by links)."""
-    sets = profiles(docs)
+    sets = profiles(docs, m)
     known = sets.where("doc_id IS NOT NULL AND n > 0")
     classes = settled(known.groupBy("set").agg(F.min("doc_id").alias("rep")))
     one = known.join(classes.select("set", F.col("rep").alias("doc_id")), ["set", "doc_id"], "left_semi")
-    clusters = components(candidates(one)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = components(candidates(one, m)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
-    parts = units(settled(clusters.join(sizes, "doc_id")), block)
-    found = components(links(docs, parts))
+    parts = units(settled(clusters.join(sizes, "doc_id")), m, block)
+    found = components(links(docs, parts, m))
     rep = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rep = rep.select("set", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "set").join(rep, "set", "left")
@@ -373,9 +394,9 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, m: Measure = STAGE) -> DataFrame:
     """One document of each component, its first, with its columns; of repeated rows one.
     Rows without doc_id stay."""
-    first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = join(docs, m).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
