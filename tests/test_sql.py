@@ -182,3 +182,8 @@ def test_refused(s, sql, message):
 def test_parser_keeps_precedence():
     e = parse("SELECT a + b * c - d AND NOT x OR y").body.items[0].expr
     assert e.op == "OR" and e.left.op == "AND" and e.left.left.op == "-" and e.left.left.left.right.op == "*"
+
+
+def test_deep_nesting_is_refused():
+    with pytest.raises(SqlError, match="deeply"):
+        parse("SELECT " + "(" * 5000 + "1" + ")" * 5000)
