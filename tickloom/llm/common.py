@@ -7,17 +7,16 @@ document, never by the partition.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship as ship  # for the operators of this subpackage
+
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
 #: Word separators: space and the ASCII controls 9 to 13.
@@ -33,21 +32,6 @@ _BYTE_VALUES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tickloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    name = os.path.join(folder, f"{top.name}_code.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(name)
-    sc._tickloom_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is configured."""
     sc = spark.sparkContext
@@ -69,11 +53,21 @@ def settled(df: DataFrame) -> DataFrame:
 def table(df: DataFrame, name: str) -> DataFrame:
     """The rows as a compressed table in the shared folder: for wide rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = passing(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return f"{folder}/rows"
+
+
 def fresh(taken: list[str], name: str) -> str:
     """`name`, lengthened until it clashes with no column (in any letter case)."""
     low = {x.lower() for x in taken}
