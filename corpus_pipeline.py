@@ -7,13 +7,12 @@ the last return the columns of docs.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, langid, mixing, perplexity, sigtree
-from tickloom.llm.common import shared_dir
+from tickloom.llm.common import passing
 from tickloom.llm.queries import vocabulary
 
 
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = passing(spark, "pipeline")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
