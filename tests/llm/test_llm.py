@@ -493,3 +493,15 @@ def test_pipeline(spark, tmp_path):
             assert rows.join(before, "doc_id", "left_anti").count() == 0
     assert rows.count() == before.count() and rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()) == sorted(rows.collect())
+
+
+def test_partners_in_large_groups_only(spark, monkeypatch):
+    """With groups of two at most nearly all shared shingles are in large groups."""
+    monkeypatch.setattr(sigtree, "GROUP", 2)
+    rng = random.Random(14)
+    texts = family(rng, 100, 12, 3)
+    texts += [f"{t} {' '.join(f'x{rng.randrange(10**6)}' for _ in range(rng.randint(0, 14)))}" for t in texts[:8]]
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = components(pairs, range(len(texts)))
+    assert {r.doc_id: r.component_id for r in sigtree.join(docs(spark, texts)).collect()} == want

@@ -186,8 +186,10 @@ def candidates(sets: DataFrame, m: Measure) -> DataFrame:
     rows = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
     sized = rows.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
     rows = table(rows.join(sized, "shingle"), "grouped")
+    # A smaller partner may ask for less: the least that any can ask for counts.
+    smallest = f"(n * {m.link} + 99) DIV 100"
     wide = rows.where(F.col("size") > GROUP)
-    heavy = settled(wide.groupBy("doc_id").agg(F.count("*").alias("h"), F.first("n").alias("n")).withColumn("l", F.expr(m.common_sql("n"))))
+    heavy = settled(wide.groupBy("doc_id").agg(F.count("*").alias("h"), F.first("n").alias("n")).withColumn("l", F.expr(m.common_sql(smallest))))
 
     member = F.struct("doc_id", "n")
     group = rows.where(F.col("size") <= GROUP).groupBy("shingle").agg(F.sort_array(F.collect_list(member)).alias("g"))
