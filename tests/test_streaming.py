@@ -115,3 +115,33 @@ def test_backfill_over_files(spark, tmp_path):
     made = backfill(Session(spark, str(tmp_path)), PIPELINE, {"trades": "t.csv"}, str(tmp_path / "out"), columns={"trades": {"time": "at", "symbol": "sym", "price": "px"}}, where={"trades": "px > 0"})
     got = spark.read.parquet(made["bars"]).select("symbol", "n", "top").collect()
     assert sorted(map(tuple, got)) == [("A", 1, 2.0), ("B", 1, 10.0)]
+
+
+def test_live_views_subscriptions_and_ingest(spark, events, tmp_path):
+    df, _ = events
+    s = Session(spark)
+    table = str(tmp_path / "table")
+    live.append(s, table, df.where("v < 200"))
+    live.append(s, table, df.where("v >= 200").drop("v"))
+    with pytest.raises(ValueError, match="no column"):
+        live.append(s, table, df.withColumn("w", df.v))
+    assert spark.read.parquet(table).where("v IS NULL").count() == df.where("v >= 200").count()
+    live.file_stream(s, "e", table, "ts")
+    live.view(s, "large", "SELECT ts, k, v FROM e WHERE v > 100", str(tmp_path / "views"), once=True).awaitTermination()
+    assert s.query("SELECT count(*) AS n FROM large").collect() == [(df.where("v > 100 AND v < 200").count(),)]
+    seen = []
+    live.subscribe(s, "SELECT v FROM e WHERE v < 50", lambda rows: seen.extend(r[0] for r in rows.collect()), str(tmp_path / "sub"), once=True).awaitTermination()
+    assert sorted(seen) == [3.0, 3.0, 40.0, 40.0]
+
+
+def test_arrival_join(spark, events, tmp_path):
+    from tickloom.streaming.asof import arrival_join
+
+    df, path = events
+    rows = spark.readStream.schema(df.schema).parquet(path)
+    joined = arrival_join(rows.where("v % 2 = 1"), rows.where("v % 2 = 0"), "ts", "ts", [("k", "k")], aliases=("l", "r"), versions=100)
+    joined.selectExpr("l.v AS v", "l.k AS k", "r.v AS w").writeStream.format("memory").queryName("arrival_test").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start().awaitTermination()
+    s = Session(spark)
+    s.register("e", df)
+    want = s.query("SELECT l.v, l.k, r.v AS w FROM (SELECT * FROM e WHERE v % 2 = 1) l ASOF LEFT JOIN (SELECT * FROM e WHERE v % 2 = 0) r ON l.k = r.k AND l.ts >= r.ts").collect()
+    assert sorted(map(repr, spark.table("arrival_test").collect())) == sorted(repr(r) for r in want)

@@ -7,6 +7,8 @@ sink once; state and progress are Spark's checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,3 +52,33 @@ def start(session: Session, query: str, sink: str, checkpoint: str, *, fmt: str
         w = w.partitionBy(*partition_by)
     w = w.trigger(availableNow=True) if once else w
     return w.queryName(sink).start() if fmt == "memory" else w.start(sink)
+
+
+def subscribe(session: Session, query: str, call: Callable[[DataFrame], None], checkpoint: str, *, once: bool = False) -> StreamingQuery:
+    """Calls back with the new rows of a live query, batch by batch."""
+    w = session.query(query).writeStream.foreachBatch(lambda df, _: call(df)).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def append(session: Session, path: str, rows: DataFrame) -> None:
+    """Adds rows to a table's directory: those who follow it as a stream get them.  The first rows
+    fix the columns; later ones may leave columns out, not add any."""
+    from ..sources import files
+
+    spark = session.spark
+    if files.exists(spark, f"{path.rstrip('/')}/*.parquet"):
+        schema = spark.read.parquet(path).schema
+        new = [c for c in rows.columns if c not in schema.names]
+        if new:
+            raise ValueError(f"{path} has no column {new[0]!r}")
+        rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    rows.write.mode("append").parquet(path)
+
+
+def view(session: Session, name: str, query: str, folder: str, *, once: bool = False, partition_by: list[str] = ()) -> StreamingQuery:
+    """A live view: its rows so far and to come in a directory below `folder`, readable as the table `name`."""
+    path = f"{folder.rstrip('/')}/{name}"
+    schema = session.query(query).schema
+    session.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    session.tables[name.lower()] = path
+    return start(session, query, path, f"{folder.rstrip('/')}/_checkpoints/{name}", once=once, partition_by=partition_by)
