@@ -6,6 +6,8 @@ The joined rows hold one struct column for each side, named by its alias, so tha
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,52 @@ def asof_join(
     return found.select(F.col("own").alias(a), F.col("match.row").alias(b))
 
 
+@dataclass
+class Side:
+    """A right side of `asof_joins`.  shift: microseconds that the left time is moved by for it."""
+
+    rows: DataFrame
+    time: Column
+    keys: list[Column]
+    alias: str
+    shift: int = 0
+    strict: bool = False
+    tolerance: int | None = None
+    inner: bool = False
+
+
+def asof_joins(left: DataFrame, left_time: Column, left_keys: list[Column], rights: list[Side], alias: str = "l") -> DataFrame:
+    """Several as-of joins of one table on the same keys and time, in one sorted union: one
+    shuffle for all of them, where each in turn would take its own.
+
+    A right side whose left time is moved (a horizon) has its own times moved the other way.
+    """
+    names = [f"k{i}" for i in range(len(left_keys))]
+
+    def moved(c: Column, us: int) -> Column:
+        return c - F.expr(interval(us)) if us else c
+
+    both = left.select(*[k.alias(n) for k, n in zip(left_keys, names, strict=True)], left_time.alias("at"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("seq"), F.struct("*").alias("own")).where("at IS NOT NULL")
+    parts = []
+    for i, r in enumerate(rights):
+        match = F.struct(r.time.alias("at"), F.struct("*").alias("row")).alias(f"m{i}")
+        rows = r.rows.select(*[k.alias(n) for k, n in zip(r.keys, names, strict=True)], moved(r.time, r.shift).alias("at"), F.lit(2 if r.strict else 0).alias("side"), F.monotonically_increasing_id().alias("seq"), match)
+        rows = rows.where("at IS NOT NULL")
+        for n in names:
+            rows = rows.where(F.col(n).isNotNull())
+        parts.append(rows)
+    for rows in parts:
+        both = both.unionByName(rows, allowMissingColumns=True)
+    order = Window.partitionBy(*names).orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("at", "own", *[F.last(f"m{i}", ignorenulls=True).over(order).alias(f"m{i}") for i in range(len(rights))]).where("own IS NOT NULL")
+    for i, r in enumerate(rights):
+        if r.tolerance is not None:
+            found = found.withColumn(f"m{i}", F.when(F.col("at") - F.col(f"m{i}.at") <= F.expr(interval(r.tolerance)), F.col(f"m{i}")))
+        if r.inner:
+            found = found.where(f"m{i} IS NOT NULL")
+    return found.select(F.col("own").alias(alias), *[F.col(f"m{i}.row").alias(r.alias) for i, r in enumerate(rights)])
+
+
 def _carried(ls: DataFrame, rs: DataFrame, names: list[str]) -> DataFrame:
     """For each key and slice, the last right row of the earlier slices, placed first in it."""
     last = rs.groupBy(*names, "slice").agg(F.max_by("match", F.struct("at", "seq")).alias("match"))
