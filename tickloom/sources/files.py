@@ -70,10 +70,36 @@ def read(spark: SparkSession, path: str | list[str], reader: str | None = None,
         if unknown:
             raise SourceError(f"unknown option {sorted(unknown)[0]} of a {kind} file")
         paths = path if isinstance(path, list) else [path]
-        df = spark.read.option("mergeSchema", str(bool(options.get("union_by_name", False))).lower()).format(kind).load(paths)
+        reader_ = spark.read.option("mergeSchema", str(bool(options.get("union_by_name", False))).lower()).format(kind)
+        key = file_key(spark, paths[0]) if len(paths) == 1 and kind == "parquet" else None
+        if key in _schemas:
+            reader_ = reader_.schema(_schemas[key])
+        df = reader_.load(paths)
+        if key is not None and key not in _schemas:
+            if len(_schemas) >= MOST_SCHEMAS:
+                _schemas.clear()
+            _schemas[key] = df.schema
     return normal(df)
 
 
+#: Schemas of single files that haven't changed since: their footers needn't be read again.
+_schemas: dict[tuple | None, T.StructType] = {}
+MOST_SCHEMAS = 1000
+
+
+def file_key(spark: SparkSession, path: str) -> tuple | None:
+    """A file's path, time and length; None for anything but one plain file."""
+    if any(c in path for c in "*?[{"):
+        return None
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    status = fs.getFileStatus(p)
+    return None if status.isDirectory() else (path, status.getModificationTime(), status.getLen())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything lies at a path (or matches a glob)."""
     jvm = spark.sparkContext._jvm
