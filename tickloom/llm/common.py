@@ -97,12 +97,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with at most so many bytes, or one document."""
+    """Ranges of documents with at most so many bytes, or one document.
+
+    After the last one Arrow's unused memory goes back: idle workers would keep it.
+    """
     n, i = len(bounds) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
