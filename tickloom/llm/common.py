@@ -14,11 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship as ship  # for the operators of this subpackage
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
+#: Rows of a side (languages, sources) up to which it is broadcast.
+SMALL_ROWS = 100_000
 #: Word separators: space and the ASCII controls 9 to 13.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a regular expression for one word.
@@ -50,6 +53,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A settled table of few rows, to be broadcast if they are indeed at most so many; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """The rows as a compressed table in the shared folder: for wide rows."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, settled, table
+from .common import WORD, fresh, settled, small, table
 
 #: No document is taken more often than this.
 MOST = 3
@@ -82,7 +82,7 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         width = 1 << (BITS * (LEVELS - level))
         bucket = F.shiftright("hash", shift)
         s = state.select(F.col("source").alias("own"), "below")
-        inside = rows.join(s, rows["source"].eqNullSafe(s["own"])) if level else rows.withColumn("below", F.lit(0).cast("long"))
+        inside = rows.join(small(s), rows["source"].eqNullSafe(s["own"])) if level else rows.withColumn("below", F.lit(0).cast("long"))
         inside = inside.where((F.col("hash") >= F.col("below")) & (F.col("hash") < F.col("below") + width))
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     goals = settled(targets(light))
     cuts = thresholds(light, goals)
     plan = goals.join(cuts.withColumnRenamed("source", "cut_of"), goals["source"].eqNullSafe(F.col("cut_of"))).drop("cut_of")
-    plan = settled(plan).withColumnRenamed("source", "plan_of")
+    plan = small(settled(plan.withColumnRenamed("source", "plan_of")))
     times = F.least(F.col("times") + (F.col("hash") <= F.col("threshold")).cast("long"), F.lit(MOST).cast("long"))
     out = rows.join(plan, rows["source"].eqNullSafe(plan["plan_of"]), "left")
     return out.select(

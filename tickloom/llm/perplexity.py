@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, distinct, fresh, settled, ship, slices, table, utf8
+from .common import Words, distinct, fresh, settled, ship, slices, small, table, utf8
 
 ORDER = 4
 CLASSES = 64
@@ -296,7 +296,7 @@ def scored(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "l
     need = list(dict.fromkeys([*keep, at[text]]))
     rows = table(plain.select(*need).mapInArrow(_scored(model, at[text], keep), schema), "perplexity")
     rows = rows.withColumn("bits", F.col("m_units") / F.lit(float(UNIT)) / F.greatest(F.col("m_n_grams"), F.lit(1)))
-    bands = fences(rows.where("m_n_words >= %d" % MIN_WORDS), at[lang])
+    bands = small(fences(rows.where(F.col("m_n_words") >= MIN_WORDS), at[lang]))
     base = (F.col("m_n_words") < MIN_WORDS) | (100 * F.col("m_n_repeat_words") > MAX_REPEATED * F.col("m_n_words"))
     inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(True))
     out = rows.join(bands, rows[at[lang]].eqNullSafe(bands["band_of"]), "left").select(
