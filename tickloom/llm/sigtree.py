@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, distinct, lower_ascii, mix, settled, ship, slices, table, utf8
@@ -45,7 +45,7 @@ from .graph import components
 #: Prefix shingles that partners must share: this share of the set.
 COMMON = 0.05
 #: Largest group of which all pairs are counted.
-GROUP = 32
+GROUP = 8
 #: Shingles in more than this share of the documents (and this many at least) come last in
 #: the order.  Their number is bounded by the mean set size over the share.
 FREQUENT, FREQUENT_LEAST = 0.001, 16
@@ -144,6 +144,11 @@ def frequent(docs: DataFrame, m: Measure, text: str = "text") -> np.ndarray:
     return np.sort(rows.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
 
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(parts)))
+
+
 def _profiled(last, m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = last.value
@@ -151,41 +156,44 @@ def _profiled(last, m: Measure):
             data, bounds = utf8(batch.column(1))
             for i, j in slices(bounds):
                 sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], m.words)
-                name, prefix = [], []
+                name, prefix, last_ones = [], [], []
                 for s in sets:
                     name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     n = len(s)
-                    if n and len(often):
-                        late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                        s = np.concatenate([s[~late], s[late]])
-                    prefix.append(s[: n - m.need(n) + m.common(n)].view(np.int64) if n else s.view(np.int64))
+                    length = n - m.need(n) + m.common(n) if n else 0
+                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if n and len(often) else np.zeros(n, bool)
+                    first = s[~late][:length]
+                    prefix.append(first.view(np.int64))
+                    last_ones.append(s[late][: length - len(first)].view(np.int64))
                 size = np.array([len(s) for s in sets], np.int32)
-                cut = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefix)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size), pa.array(name, pa.binary()), flat],
-                    ["doc_id", "n", "set", "prefix"],
+                    [batch.column(0).slice(i, j - i), pa.array(size), pa.array(name, pa.binary()), lists(prefix), lists(last_ones)],
+                    ["doc_id", "n", "set", "prefix", "late"],
                 )
 
     return run
 
 
 def profiles(docs: DataFrame, m: Measure) -> DataFrame:
-    """doc_id, n (the set's size), set (a 128-bit name of the set) and prefix of each document."""
+    """doc_id, n (the set's size), set (a 128-bit name of the set), and the prefix of each
+    document: what isn't frequent in `prefix`, the rest in `late`."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     last = spark.sparkContext.broadcast(frequent(texts, m))
-    return table(texts.mapInArrow(_profiled(last, m), f"doc_id {kind}, n int, set binary, prefix array<long>"), "shingles")
+    return table(texts.mapInArrow(_profiled(last, m), f"doc_id {kind}, n int, set binary, prefix array<long>, late array<long>"), "shingles")
 
 
 def candidates(sets: DataFrame, m: Measure) -> DataFrame:
     """Pairs a, b of doc_ids that may link, or chain documents that may; from doc_id, n and
     prefix of one document for each set."""
+    # What isn't frequent is in few documents, so its groups fit the tasks that size them;
+    # a frequent shingle's group is large without counting.
     rows = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
-    sized = rows.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
-    rows = table(rows.join(sized, "shingle"), "grouped")
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("shingle"))).where("size > 1")
+    often = sets.select("doc_id", "n", F.explode("late").alias("shingle"), F.lit(GROUP + 1).cast("long").alias("size"))
+    rows = table(rows.unionByName(often), "grouped")
     # A smaller partner may ask for less: the least that any can ask for counts.
     smallest = f"(n * {m.link} + 99) DIV 100"
     wide = rows.where(F.col("size") > GROUP)
@@ -193,11 +201,13 @@ def candidates(sets: DataFrame, m: Measure) -> DataFrame:
 
     member = F.struct("doc_id", "n")
     group = rows.where(F.col("size") <= GROUP).groupBy("shingle").agg(F.sort_array(F.collect_list(member)).alias("g"))
+    # Near copies share many shingles with the same others: such groups are counted once.
+    group = group.groupBy("g").agg(F.count("*").alias("w"))
     pair = F.expr(f"""
         filter(
           flatten(transform(g, (x, i) -> transform(slice(g, i + 2, {GROUP}), y -> struct(x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb)))),
           p -> p.a < p.b AND 100L * least(p.na, p.nb) >= {m.link}L * greatest(p.na, p.nb))""")
-    pairs = group.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("s"), F.first("p.na").alias("na"), F.first("p.nb").alias("nb"))
+    pairs = group.select("w", F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("s"), F.first("p.na").alias("na"), F.first("p.nb").alias("nb"))
     for side in "ab":
         h = heavy.select(F.col("doc_id").alias(side), F.col("h").alias(f"h{side}"))
         pairs = pairs.join(h, side, "left")
