@@ -105,6 +105,16 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark, prose):
     assert {r.doc_id for r in kept.collect()} == set(range(len(prose)))
 
 
+def test_perplexity_bands_follow_the_spread(spark):
+    rng = random.Random(6)
+    parts = ["the", "of", "th", "ing", "er", "on", "at"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(300)) for _ in range(60)]
+    junk = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) + rng.choice("#$%&*") * 3 for _ in range(300)) for _ in range(12)]
+    got = {r.doc_id: r for r in perplexity.judge(docs(spark, [*texts, *junk])).collect()}
+    assert all(got[i].kept for i in range(60))
+    assert not any(got[60 + i].kept or got[60 + i].base_failed for i in range(12))
+
+
 def test_model_is_a_distribution():
     rng = random.Random(5)
     text = "".join(rng.choices("abc ", k=400)).encode()

@@ -42,10 +42,8 @@ PRUNED_FROM = 3
 MIN_WORDS = 20
 MAX_REPEATED = 30
 REPEAT_WINDOW = 8
-#: Interquartile ranges that a band reaches beyond the quartiles, and the least reach in bits
-#: below and above.  Low perplexity has more harmless causes (lists of numbers, boilerplate).
+#: Interquartile ranges that a band reaches beyond the quartiles, on both sides.
 FENCE = 4.0
-LEAST_REACH = (0.5, 0.25)
 #: Bits are summed as whole numbers of 2^-16, so any order of adding gives the same sum.
 UNIT = 1 << 16
 #: Histogram bins for each bit per character.
@@ -321,8 +319,8 @@ def fences(rows: DataFrame, lang: str) -> DataFrame:
     bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(each))
     q = [F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin"))) for p in (0.25, 0.75)]
     found_ = bins.groupBy("band_of").agg((q[0] / BINS).alias("q1"), ((q[1] + 1) / BINS).alias("q3"))
-    down, up = (F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.lit(x)) for x in LEAST_REACH)
-    return settled(found_.select("band_of", (F.col("q1") - down).alias("low"), (F.col("q3") + up).alias("high")))
+    reach = FENCE * (F.col("q3") - F.col("q1"))
+    return settled(found_.select("band_of", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
