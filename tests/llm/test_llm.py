@@ -231,6 +231,46 @@ def test_licences(spark):
     assert sorted(map(tuple, got.values())) == sorted(c.execute(licenses.oracle("frame")).fetchall(), key=lambda r: r[0])
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_wrapped_licences(spark):
+    texts = [x for t in (MIT, GPL, GPL.replace("software:", "software;").replace("tion, either version 3", "tion; either version 2"), BSD) for x in (t, " * " + t.replace("\n", "\n * "), t.replace("\n", "\r\n-- "))]
+    texts += ["a title\nReleased under the MIT License\nmore", "Released under\n\nthe MIT License"]
+    got = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
+    want = ["MIT"] * 3 + ["GPL-3.0-or-later"] * 3 + ["GPL-2.0-or-later"] * 3 + ["BSD-3-Clause"] * 3 + ["MIT", None]
+    assert [got[i].licence for i in range(len(texts))] == want
+    assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is" and got[3].sentence_ids == "gpl-free gpl-redistribute gpl-version-3"
+
+
 # ---------------------------------------------------------------- 5
 
 

@@ -1,6 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences at line ends and at sentence marks before a space.
+A text is cut into sentences at blank lines and at sentence marks before a space.
+A single line break, with what a comment puts before its lines, is a space within
+a sentence as well as a place where one may start or end: wrapped sentences and
+those on lines of their own are both found, the longest first.
 A sentence is normalised (lower case; anything but letters, digits, plus, hyphen
 and full stops within words becomes one space) and looked up in a table of known
 licence sentences, which gives its identifier.  The identifiers, in the order of
@@ -56,6 +59,18 @@ SENTENCES = {
     "spdx-gpl3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
 }
+# The standard notices' full sentences, with the identifiers that each stands for.
+FULL = (
+    (("apache2-notice",), "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    (("apache2-as-is",), "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    (("mit-grant",), SENTENCES["mit-grant"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    (("as-is",), SENTENCES["as-is"] + ", INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    *(
+        (ids, ", ".join([*([": ".join(SENTENCES[k] for k in ids[:-1])]), SENTENCES[ids[-1]]]))
+        for v in ("gpl-version-3", "gpl-version-2")
+        for ids in (("gpl-free", "gpl-redistribute", v), ("gpl-redistribute", v))
+    ),
+)
 # Ordered rules, the longer sequence before its own parts.
 RULES = (
     ("Apache-2.0", ("apache2-notice", "apache2-may-not")),
@@ -82,16 +97,25 @@ RULES = (
     ("MPL-2.0", ("mpl2-notice",)),
 )
 
-#: Where a sentence ends: at a line end, or after a mark before white space.
-CUT = r"[\n\r]+|[.!?;](?=\s)\s*"
 #: What is dropped at a sentence's ends and between words.
 GAP = r"[^a-z0-9+.\-]+"
 EDGE = r"^[ .\-]+|[ .\-]+$"
+#: Replaced in turn in a lower case text: H is a cut, S a single line break.  Each run is
+#: entered at its start only, so any run takes linear time.
+STEPS = (
+    (r"[.!?;](?=\s)", "H"),
+    (r"[^a-z0-9+.\-\n\rH]+", " "),
+    (r"(?<![ .\-\n\rH])[ .\-]*+(?:H|(?>\r\n|[\n\r])[ .\-]*+[\n\rH])[ .\-\n\rH]*+", "H"),
+    (r"(?<![ .\-\n\r])[ .\-]*+[\n\r]++[ .\-]*+", "S"),
+)
 
 
-def normal(sentence: Column) -> Column:
-    """A sentence in normal form."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), GAP, " "), EDGE, "")
+def normal(text: Column) -> Column:
+    """A text in normal form, with its cuts and line breaks."""
+    out = F.lower(text)
+    for k, (pattern, by) in enumerate(STEPS):
+        out = F.regexp_replace(F.concat(F.lit("H"), out, F.lit("H")) if k == 2 else out, pattern, by)
+    return out
 
 
 def known(sentences: dict[str, str]) -> dict[str, str]:
@@ -99,15 +123,16 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return {re.sub(EDGE, "", re.sub(GAP, " ", text.lower())): key for key, text in sentences.items()}
 
 
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def identifiers(text: Column, sentences: dict[str, str] = SENTENCES, full=FULL) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    forms = known(sentences)
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    shortest, longest = min(map(len, forms)), max(map(len, forms))
-    cut = F.split(F.coalesce(text, F.lit("")), CUT)
-    # A sentence much longer or shorter than any known one isn't worth normalising.
-    close = F.filter(cut, lambda x: (F.length(x) >= shortest) & (F.length(x) <= 4 * longest))
-    return F.filter(F.transform(close, lambda x: F.try_element_at(table, normal(x))), lambda x: x.isNotNull())
+    forms = {form: (key,) for form, key in known(sentences).items()}
+    for keys, sentence in full:
+        forms |= dict.fromkeys(known({"": sentence}), keys)
+    table = F.create_map(*[x for form, keys in forms.items() for x in (F.lit(form), F.array(*map(F.lit, keys)))])
+    longest_first = sorted(forms, key=len, reverse=True)
+    pattern = "(?<=[HS])(?:" + "|".join(re.escape(f).replace(r"\ ", "[ S]") for f in longest_first) + ")(?=[HS])"
+    hits = F.regexp_extract_all(normal(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+    return F.flatten(F.transform(hits, lambda x: F.try_element_at(table, F.translate(x, "S", " "))))
 
 
 def matching(ids: Column, rules=RULES) -> Column:
