@@ -271,6 +271,11 @@ def test_wrapped_licences(spark):
     assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is" and got[3].sentence_ids == "gpl-free gpl-redistribute gpl-version-3"
 
 
+def test_padded_licences(spark):
+    texts = ["Released under" + " #" * 5000 + " the MIT License", "- " * 200_000]
+    assert {r.doc_id: r.licence for r in licenses.report(docs(spark, texts)).collect()} == {0: "MIT", 1: None}
+
+
 # ---------------------------------------------------------------- 5
 
 
