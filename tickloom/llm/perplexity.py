@@ -1,43 +1,53 @@
 """Quality rules with n-gram perplexity.
 
-The language model is a modified Kneser-Ney model of order 4 over character
-classes.  A text counts as its words joined by single spaces; a character
-counts as one of 64 classes (`classes`): letters a to z each, capitals,
-digits, groups of punctuation, and other letters by code point.  64 classes
-bound the model: at most 64^4 n-grams, whatever the corpus, so it can be
-collected and broadcast.  Spark counts the n-grams of all documents; the
-estimated model, without the long n-grams that occur once, is stored per order in
-arrays sorted by n-gram hash.
-
-Each language gets a band of bits per character from the distribution over all
+The language model is a modified Kneser-Ney model of order 5 over code points.  A
+text counts as its words joined by single spaces.  Spark counts the n-grams of all
+documents, every one with its exact code points; nothing is folded, pruned or capped,
+so what the model gathers grows with the corpus.
+
+A document must not vouch for itself: texts are dealt into two folds by their checksum
+(so exact copies share a fold), and each fold is scored by the model of the other.
+The probabilities of all n-grams that a fold needs come from joins between n-gram
+tables, order by order, and are stored in arrays sorted by n-gram hash.  Up to
+`HASHES` n-grams the arrays are broadcast; a larger model is dealt out instead: texts
+go in blocks of `BLOCK_BYTES`, each with the sorted array of just its own n-grams.
+
+A text's perplexity is per letter: its bits over its letters and digits (any code point
+beyond ASCII counts), so signs cost bits without making a text longer.
+Each language gets a band of bits per letter from the distribution over all
 its documents: the quartiles, widened by `FENCE` interquartile ranges.  A
 document outside its language's band is rejected, as is one that fails the
 base rules.
 
 Defined cases: a null or empty text has no words and fails the base rules.  A
 null language is a language of its own.  Repeated rows are judged alike, each
-on its own.  An empty table gives an empty result.  Other columns pass through
-unless a metric's name clashes, in which case the metric's name gets a `_`.
+on its own.  With one fold empty all n-grams of the other are equally likely.  An
+empty table gives an empty result.  Other columns pass through unless a metric's
+name clashes, in which case the metric's name gets a `_`.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from functools import cache
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, distinct, fresh, settled, ship, slices, small, table, utf8
+from .common import Words, distinct, fresh, mix, settled, ship, slices, small, table, utf8
 
-ORDER = 4
-CLASSES = 64
-#: From this order on n-grams that the corpus has once are pruned.
-PRUNED_FROM = 3
+ORDER = 5
+#: Largest number of n-grams (12 bytes each) whose probabilities are broadcast.
+HASHES = 4_000_000
+#: Bytes of text of a block, where they aren't.
+BLOCK_BYTES = 4 << 20
+#: Distinct n-grams that a task holds before it hands on their counts.
+HELD = 1_000_000
 #: Base rules: fewest words, and the largest share of words in repeated windows.
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -46,170 +56,238 @@ REPEAT_WINDOW = 8
 FENCE = 4.0
 #: Bits are summed as whole numbers of 2^-16, so any order of adding gives the same sum.
 UNIT = 1 << 16
-#: Histogram bins for each bit per character.
+#: Histogram bins for each bit per letter.
 BINS = 256
 SYMBOLS = b"#*$%&|<>"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*METRICS, "n_letters", "units")
 
-_SPACE, _EDGE = 1, 0
-_PUNCTUATION = (".", ",;:", "'\"`", "!?", "-()[]{}/\\")
+#: A symbol is a code point and 1, in 21 bits; 0 stands before a text.
+POINT = 21
+ONE, TWO = (1 << POINT) - 1, (1 << 2 * POINT) - 1
+GRAM = ["fold", "hi", "lo"]
 _is_symbol = np.zeros(256, bool)
 _is_symbol[list(SYMBOLS)] = True
+#: By byte: ASCII letters and digits, and the first byte of any other code point.
+_is_letter = np.array([chr(b).isalnum() if b < 0x80 else b >= 0xC0 for b in range(256)])
 
 
-@cache
-def classes() -> np.ndarray:
-    """The class of each code point: 0 edge, 1 space, 2-27 a-z, 28 digits, 29-33
-    punctuation, 34 other ASCII signs, 35 A-Z, 36-59 other letters by code point,
-    60 other capitals, 61 other marks and numbers, 62 other signs, 63 the rest."""
-    c = np.full(0x110000, 63, np.uint8)
-    c[0x21:0x7F] = 34
-    for p in range(0x80, 0x3000):
-        kind = unicodedata.category(chr(p))
-        c[p] = 60 if kind == "Lu" else 36 + p % 24 if kind[0] == "L" else 61 if kind[0] in "MN" else 62
-    far = np.arange(0x3000, 0xE000)
-    c[far] = 36 + far % 24
-    c[[0x20, *range(9, 14)]] = _SPACE
-    c[ord("a") : ord("z") + 1] = np.arange(2, 28)
-    c[ord("0") : ord("9") + 1] = 28
-    for i, group in enumerate(_PUNCTUATION):
-        c[[ord(x) for x in group]] = 29 + i
-    c[ord("A") : ord("Z") + 1] = 35
-    return c
-
-
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code ending at each kept character, and each document's bounds among them."""
+# ---------------------------------------------------------------- n-grams of texts
+
+
+def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each kept character (its first two symbols, its last three),
+    and each document's bounds among them."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-    c = classes()[points]
-    space = c == _SPACE
-    before = np.ones(len(c), bool)
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    before = np.ones(len(points), bool)
     before[1:] = space[:-1]
-    before[at[:-1][at[:-1] < len(c)]] = True
+    before[at[:-1][at[:-1] < len(points)]] = True
     keep = ~(space & before)
     at = np.concatenate([[0], np.cumsum(keep)])[at]
-    c = c[keep].astype(np.uint32)
+    c = np.where(space, 32, points)[keep].astype(np.uint64) + np.uint64(1)
     own = np.arange(len(c)) - np.repeat(at[:-1], np.diff(at))
-    code = c.copy()
+    hi, lo = np.zeros(len(c), np.uint64), c.copy()
     for k in range(1, ORDER):
-        past = np.zeros(len(c), np.uint32)
+        past = np.zeros(len(c), np.uint64)
         past[k:] = c[:-k]
-        past[own < k] = _EDGE
-        code |= past << np.uint32(6 * k)
-    return code, at
+        past[own < k] = 0
+        if k < 3:
+            lo |= past << np.uint64(POINT * k)
+        else:
+            hi |= past << np.uint64(POINT * (k - 3))
+    return hi, lo, at
+
+
+def folds(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fold of each document: the same for the same text."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((zlib.crc32(view[a:b]) & 1 for a, b in zip(bounds[:-1], bounds[1:], strict=True)), np.uint64, len(bounds) - 1)
+
+
+def hashed(fold: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an n-gram in a fold."""
+    return mix(mix(hi ^ (fold << np.uint64(60))) ^ lo)
+
+
+def _summed(h: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct hashes in order, with what belongs to them and their summed counts."""
+    order = np.argsort(h)
+    h = h[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[at], [x[order[at]] for x in rest], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _counted(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        seen = np.zeros(0, np.uint32)
+        held: list[tuple] = []
+
+        def merged() -> None:
+            h, fold, hi, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, rest, n = _summed(h, [fold, hi, lo], n)
+            held[:] = [(h, *rest, n)]
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for _, fold, hi, lo, n in held:
+                for i in range(0, len(n), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (fold, hi, lo, n)], [*GRAM, "n"])
+            held.clear()
+
         for batch in batches:
             data, bounds = utf8(batch.column(column))
             for i, j in slices(bounds):
-                code, _ = grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                if len(code):
-                    own, n = np.unique(code, return_counts=True)
-                    total[own] += n
-                    seen = np.union1d(seen, own)
-        for i in range(0, len(seen), 1 << 16):
-            part = seen[i : i + (1 << 16)].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["gram", "n"])
+                own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                hi, lo, where = grams(own, at)
+                if not len(lo):
+                    continue
+                fold = np.repeat(folds(own, at), np.diff(where))
+                h, rest, n = _summed(hashed(fold, hi, lo), [fold, hi, lo], np.ones(len(lo), np.int64))
+                held.append((h, *rest, n))
+                if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > HELD // 2:
+                    merged()
+                    if len(held[0][0]) > HELD:
+                        yield from given()
+        if held:
+            merged()
+            yield from given()
 
     return run
 
 
-class Model:
-    """Sorted n-gram hashes with log2 probabilities; for the contexts, their back-off weights."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """codes, counts: all n-grams of the highest order with their counts."""
-        weight = 1.0 / CLASSES
-        self.keys: list[np.ndarray] = []
-        self.log2: list[np.ndarray] = []
-        self.back: list[np.ndarray] = []
-        tables = [(codes, counts, counts)]
-        for k in range(ORDER - 1, 0, -1):  # below the highest order: how many symbols precede
-            above, _, seen = tables[0]
-            own, where, n = np.unique(above & np.uint32((1 << (6 * k)) - 1), return_inverse=True, return_counts=True)
-            tables.insert(0, (own, n, np.bincount(where, seen)))
-        lower = np.full(1, weight)
-        lower_codes = np.zeros(1, np.uint32)
-        for k, (own, n, seen) in enumerate(tables, 1):
-            # A long n-gram seen once says nothing of the text that it was seen in: it isn't
-            # stored, and what it would get goes to the shorter ones.
-            kept = (seen > 1) | (k < PRUNED_FROM)
-            cut = np.where(kept, discounts(n)[np.minimum(n, 3)], n)
-            gamma_codes, where = np.unique(own >> np.uint32(6), return_inverse=True)
-            total = np.bincount(where, n)
-            gamma = np.bincount(where, cut) / total
-            shorter = own & np.uint32((1 << (6 * (k - 1))) - 1)
-            below = lower[np.searchsorted(lower_codes, shorter)] if k > 1 else np.full(len(own), weight)
-            prob = (n - cut) / total[where] + gamma[where] * below
-            self._add(k, own[kept], prob[kept], gamma_codes, gamma)
-            lower, lower_codes = prob, own
-
-    def _add(self, k: int, own: np.ndarray, prob: np.ndarray, contexts: np.ndarray, gamma: np.ndarray) -> None:
-        keys = hashed(own, k)
-        order = np.argsort(keys)
-        self.keys.append(keys[order])
-        self.log2.append(np.log2(prob)[order])
-        keys = hashed(contexts, 0)
-        order = np.argsort(keys)
-        self.back.append(np.stack([keys[order], np.log2(gamma)[order].view(np.uint64)]))
-
-    def units(self, codes: np.ndarray) -> np.ndarray:
-        """log2 probability of each n-gram's last class, in whole units: the longest
-        stored n-gram's, with the weights of the contexts that it backs off from."""
-        out = np.zeros(len(codes))
-        todo = np.arange(len(codes))
-        for k in range(ORDER, 0, -1):
-            own = codes[todo] & np.uint32((1 << (6 * k)) - 1)
-            at, hit = found(self.keys[k - 1], hashed(own, k))
-            out[todo[hit]] += self.log2[k - 1][at[hit]]
-            todo, own = todo[~hit], own[~hit]
-            at, hit = found(self.back[k - 1][0], hashed(own >> np.uint32(6), 0))
-            out[todo[hit]] += self.back[k - 1][1].view(np.float64)[at[hit]]
-        out[todo] -= np.log2(CLASSES)
-        return np.rint(out * UNIT).astype(np.int64)
-
-
-def hashed(codes: np.ndarray, k: int) -> np.ndarray:
-    h = (codes.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from the counts of
+# ---------------------------------------------------------------- the model
+
+
+def _suffix(k: int) -> list:
+    """The last k symbols of an n-gram."""
+    hi = F.col("hi") if k == ORDER else F.expr(f"hi & {ONE}L") if k == 4 else F.lit(0).cast("long")
+    lo = F.expr(f"lo & {(ONE, TWO)[k - 1]}L") if k < 3 else F.col("lo")
+    return [hi, lo]
+
+
+def _context() -> list:
+    """All but the last symbol of an n-gram."""
+    return [F.expr(f"shiftright(hi, {POINT})"), F.expr(f"shiftright(lo, {POINT}) | shiftleft(hi & {ONE}L, {2 * POINT})")]
+
+
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """fold, k, hi, lo and n of all n-grams of the documents: how often those of the highest
+    order occur, and how many symbols stand before the shorter ones."""
+    ship(docs.sparkSession)
+    now = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counted("text"), "fold long, hi long, lo long, n long")
+    now = now.groupBy(*GRAM).agg(F.sum("n").alias("n"))
+    every = now.withColumn("k", F.lit(ORDER))
+    for k in range(ORDER - 1, 0, -1):
+        hi, lo = _suffix(k)
+        now = now.select("fold", hi.alias("hi"), lo.alias("lo")).groupBy(*GRAM).agg(F.count("*").alias("n"))
+        every = every.unionByName(now.withColumn("k", F.lit(k)))
+    return table(every, "ngrams")
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the counts of
     counts; half a count each where those are too few to tell."""
-    n1, n2, n3, n4 = (float(np.sum(n == k)) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
-        return np.array([0.0, 0.5, 0.5, 0.5])
+        return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
-    cut = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.array([0.0, *(min(max(c, 0.05), k - 0.05) for k, c in enumerate(cut, 1))])
+    cut = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return tuple(min(max(c, 0.05), k - 0.05) for k, c in enumerate(cut, 1))
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all documents' n-grams."""
-    ship(docs.sparkSession)
-    rows = (
-        docs.select(F.col(text).alias("text"))
-        .mapInArrow(_counted("text"), "gram long, n long")
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()  # at most 64^4 rows
-    )
-    codes, counts = rows["gram"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
-    order = np.argsort(codes)
-    return Model(codes[order], counts[order])
+@dataclass
+class Model:
+    """Models by fold.  grams: fold, k, hi, lo and mass (the count less its discount); contexts:
+    fold, k, hi, lo, total and gamma (the weight of the shorter n-grams); points: the
+    number of symbols of each fold."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    points: dict[int, int]
+
+
+def fit(every: DataFrame) -> Model:
+    """The models of n-gram counts."""
+    of = F.when
+    n = F.col("n")
+    rows = every.groupBy("fold", "k").agg(F.count("*").alias("types"), *[F.count(of(n == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()  # one a fold and order
+    cut = {(r.fold, r.k): discounts(r.n1, r.n2, r.n3, r.n4) for r in rows}
+
+    def discount(i: int):
+        here = F.lit(0.0)
+        for (fold, k), d in cut.items():
+            here = F.when((F.col("fold") == fold) & (F.col("k") == k), F.lit(d[i])).otherwise(here)
+        return here
+
+    mass = n - F.when(n == 1, discount(0)).when(n == 2, discount(1)).otherwise(discount(2))
+    hi, lo = _context()
+    sums = every.select("fold", "k", hi.alias("hi"), lo.alias("lo"), "n").groupBy("fold", "k", "hi", "lo")
+    sums = sums.agg(F.sum("n").alias("total"), F.count(of(n == 1, 1)).alias("n1"), F.count(of(n == 2, 1)).alias("n2"), F.count(of(n > 2, 1)).alias("n3"))
+    gamma = (discount(0) * F.col("n1") + discount(1) * F.col("n2") + discount(2) * F.col("n3")) / F.col("total")
+    contexts = table(sums.select("fold", "k", "hi", "lo", "total", gamma.alias("gamma")), "contexts")
+    return Model(every.select("fold", "k", "hi", "lo", mass.alias("mass")), contexts, {r.fold: r.types for r in rows if r.k == 1})
+
+
+def probabilities(needed: DataFrame, model: Model, swap: bool = True) -> DataFrame:
+    """fold, hi, lo and p of the needed n-grams of the highest order.  needed: as `counts` gives
+    them.  swap: each fold by the other fold's model, instead of its own.
+
+    Order by order, each distinct n-gram meets its own mass, its context's weight and the
+    probability of the n-gram without its first symbol."""
+    by = (1 - F.col("fold")) if swap else F.col("fold")
+    below = None
+    for k in range(1, ORDER + 1):
+        own = model.grams.where(F.col("k") == k).select(by.alias("fold"), "hi", "lo", "mass")
+        around = model.contexts.where(F.col("k") == k).select(by.alias("fold"), F.col("hi").alias("chi"), F.col("lo").alias("clo"), "total", "gamma")
+        rows = needed.where(F.col("k") == k).select(*GRAM).join(own, GRAM, "left")
+        chi, clo = _context()
+        rows = rows.withColumn("chi", chi).withColumn("clo", clo).join(around, ["fold", "chi", "clo"], "left")
+        if below is None:
+            less = F.lit(1.0)
+            for fold, n in model.points.items():
+                less = F.when(F.col("fold") == (1 - fold if swap else fold), F.lit(1.0 / (n + 1))).otherwise(less)
+            rows = rows.withColumn("less", less)
+        else:
+            shi, slo = _suffix(k - 1)
+            rows = rows.withColumn("shi", shi).withColumn("slo", slo)
+            rows = rows.join(below.select("fold", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("less")), ["fold", "shi", "slo"])
+        p = F.coalesce(F.coalesce("mass", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("less"), "less")
+        below = rows.select(*GRAM, p.alias("p"))
+    return below
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fold, hi, lo, p = (batch.column(i).to_numpy() for i in range(4))
+        h = hashed(fold.view(np.uint64), hi.view(np.uint64), lo.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.rint(-np.log2(p) * UNIT).astype(np.int32))], ["h", "units"])
+
+
+def scores(docs: DataFrame, text: str = "text") -> DataFrame:
+    """h and units (the information in 2^-16 bits) of each n-gram of the documents."""
+    every = counts(docs, text)
+    return table(probabilities(every, fit(every)).mapInArrow(_stored, "h long, units int"), "scores")
+
+
+class Hashes:
+    """N-gram hashes in order, with the units of each."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.h, self.units = h[order], rows.column("units").to_numpy()[order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The units of n-grams, all of which must be there."""
+        if not len(h):
+            return np.zeros(0, np.int64)
+        order = np.argsort(h)
+        ranked = h[order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        at = np.searchsorted(self.h, ranked[first])
+        out = np.empty(len(h), np.int64)
+        out[order] = self.units[at][np.cumsum(first) - 1]
+        return out
 
 
 def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -239,7 +317,7 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     again = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     step = np.zeros(len(words.start) + 1, np.int64)
     if len(again):
-        hit = at[found(again, key)[1]]
+        hit = at[again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key]
         np.add.at(step, hit, 1)
         np.add.at(step, hit + REPEAT_WINDOW, -1)
     covered = np.cumsum(step[:-1]) > 0
@@ -251,49 +329,101 @@ def per_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return h ^ ((doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _scored(model, column: str, keep: list[str]):
+# ---------------------------------------------------------------- scoring
+
+
+def _judged(data: np.ndarray, bounds: np.ndarray, known: Hashes) -> list[pa.Array]:
+    """The metrics, letters and units of each document."""
+    parts: list[dict[str, np.ndarray]] = []
+    for i, j in slices(bounds):
+        own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        part = measures(own, at)
+        hi, lo, where = grams(own, at)
+        units = known.of(hashed(np.repeat(folds(own, at), np.diff(where)), hi, lo))
+        part["n_letters"] = np.diff(np.concatenate([[0], np.cumsum(_is_letter[own])])[at])
+        part["units"] = np.diff(np.concatenate([[0], np.cumsum(units)])[where])
+        parts.append(part)
+    return [pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0)]).astype(np.int64)) for k in MEASURED]
+
+
+def _scored(model, column: str, keep: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
+        for batch in batches:
+            made = _judged(*utf8(batch.column(column)), known)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + made, [*keep, *(f"m_{k}" for k in MEASURED)])
+
+    return run
+
+
+def _blocks(column: str) -> Callable:
+    """Rows with the block that each goes to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = model.value
-        dense = np.zeros(CLASSES**ORDER, np.int32)  # of each slice's n-grams only
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
+            _, bounds = utf8(batch.column(column))
+            for i, j in slices(bounds, BLOCK_BYTES):
+                block += 1
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(j - i, block))], [*part.schema.names, "block"])
+
+    return run
+
+
+def _wanted(column: str) -> Callable:
+    """The n-grams of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
             data, bounds = utf8(batch.column(column))
-            parts: list[dict[str, np.ndarray]] = []
-            for i, j in slices(bounds):
-                own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                part = measures(own, at)
-                code, where = grams(own, at)
-                seen = distinct(code)
-                dense[seen] = -lm.units(seen)
-                part["n_grams"] = np.diff(where)
-                part["units"] = np.diff(np.concatenate([[0], np.cumsum(dense[code], dtype=np.int64)])[where])
-                parts.append(part)
-            names = [*METRICS, "n_grams", "units"]
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in keep] + [pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64)) for k in names],
-                    [*keep, *(f"m_{k}" for k in names)],
-                )
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                for i, j in slices(bounds[a : b + 1]):
+                    own, at = data[bounds[a + i] : bounds[a + j]], bounds[a + i : a + j + 1] - bounds[a + i]
+                    hi, lo, where = grams(own, at)
+                    h = distinct(hashed(np.repeat(folds(own, at), np.diff(where)), hi, lo))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block[a])), pa.array(h.view(np.int64))], ["block", "h"])
 
     return run
 
 
-def scored(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns `carry` with the struct `verdict`: metrics, bits per character, the
+def _scored_blocks(docs: DataFrame, known: DataFrame, column: str, keep: list[str], schema: T.StructType) -> DataFrame:
+    """As `_scored`, with the n-grams of each block in place of all."""
+    marked = T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())])
+    blocks = table(docs.mapInArrow(_blocks(column), marked), "blocks")
+    wanted = blocks.select(column, "block").mapInArrow(_wanted(column), "block long, h long").distinct().join(known, "h")
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        made = _judged(*utf8(texts.column(column)), Hashes(own))
+        return pa.table([texts.column(k) for k in keep] + made, names=[*keep, *(f"m_{k}" for k in MEASURED)])
+
+    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
+
+
+def scored(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", most: int = HASHES) -> DataFrame:
+    """The columns `carry` with the struct `verdict`: metrics, bits per letter, the
     language's band, base_failed and kept.
 
     Metrics and score are computed once and kept in the shared folder; the bands
-    come from the histogram of all documents' scores by language.
+    come from the histogram of all documents' scores by language.  most: up to so many
+    n-grams the model is broadcast.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, text))
+    known = scores(docs, text)
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*at.values())
     keep = list(dict.fromkeys([*(at[c] for c in carry), at[lang]]))
-    names = [f"m_{k}" for k in (*METRICS, "n_grams", "units")]
-    schema = T.StructType([plain.schema[c] for c in keep] + [T.StructField(k, T.LongType()) for k in names])
-    need = list(dict.fromkeys([*keep, at[text]]))
-    rows = table(plain.select(*need).mapInArrow(_scored(model, at[text], keep), schema), "perplexity")
-    rows = rows.withColumn("bits", F.col("m_units") / F.lit(float(UNIT)) / F.greatest(F.col("m_n_grams"), F.lit(1)))
+    schema = T.StructType([plain.schema[c] for c in keep] + [T.StructField(f"m_{k}", T.LongType()) for k in MEASURED])
+    need = plain.select(*dict.fromkeys([*keep, at[text]]))
+    if known.count() <= most:
+        model = spark.sparkContext.broadcast(Hashes(known.toArrow()))
+        rows = need.mapInArrow(_scored(model, at[text], keep), schema)
+    else:
+        rows = _scored_blocks(need, known, at[text], keep, schema)
+    rows = table(rows, "perplexity")
+    rows = rows.withColumn("bits", F.col("m_units") / F.lit(float(UNIT)) / F.greatest(F.col("m_n_letters"), F.lit(1)))
     bands = small(fences(rows.where(F.col("m_n_words") >= MIN_WORDS), at[lang]))
     base = (F.col("m_n_words") < MIN_WORDS) | (100 * F.col("m_n_repeat_words") > MAX_REPEATED * F.col("m_n_words"))
     inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(True))
