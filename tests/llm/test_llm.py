@@ -97,14 +97,29 @@ def test_quality_metrics_are_brute_force(spark, odd):
 
 def test_perplexity_rejects_noise_and_keeps_prose(spark, prose):
     rng = random.Random(4)
-    noise = " ".join("".join(rng.choices("qxzjkvw0123456789%&", k=7)) for _ in range(60))
-    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate(prose)] + [(1000, noise, "en", "s", 0)]
+    noise = [(k, " ".join("".join(rng.choices(signs, k=7)) for _ in range(60))) for k in ("en", "de", "fr") for signs in ("qxzjkvw0123456789%&", "qxzjkvwy", "αβγδεζηθ")]
+    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate([*prose, *noise])]
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "verdict")
     kept = perplexity.keep_good(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(prose)))
 
 
+def test_perplexity_of_other_scripts(spark):
+    """Noise in Greek, Cyrillic or Han letters is outside the band of prose in them."""
+    rng = random.Random(21)
+    rows, noise = [], set()
+    for lang, signs in (("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("ru", "абвгдежзиклмнопрстуфхцчшыьэюя"), ("zh", "的一是不了人我在有他这为之大来以个中上们")):
+        parts = ["".join(rng.choices(signs, k=3)) for _ in range(9)]
+        for _ in range(50):
+            rows.append((len(rows), " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(60, 90))), lang, "s", 0))
+        for _ in range(2):
+            noise.add(len(rows))
+            rows.append((len(rows), " ".join("".join(rng.choices(signs, k=rng.randint(3, 9))) for _ in range(80)), lang, "s", 0))
+    got = {r.doc_id: r for r in perplexity.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i in got if not got[i].kept} == noise
+
+
 def test_perplexity_bands_follow_the_spread(spark):
     rng = random.Random(6)
     parts = ["the", "of", "th", "ing", "er", "on", "at"]
@@ -115,17 +130,80 @@ def test_perplexity_bands_follow_the_spread(spark):
     assert not any(got[60 + i].kept or got[60 + i].base_failed for i in range(12))
 
 
-def test_model_is_a_distribution():
+def plain_symbols(text):
+    """Code points and 1 of the words joined by single spaces (a space at the end stays)."""
+    return [ord(c) + 1 for c in re.sub(r"[ \t-\r]+", " ", text or "").removeprefix(" ")]
+
+
+def plain_grams(texts, n=5):
+    out = Counter()
+    for t in texts:
+        x = [0] * (n - 1) + plain_symbols(t)
+        out.update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    return out
+
+
+def plain_kneser_ney(counts):
+    """p(gram) by the textbook's recursion, with modified discounts from the counts of counts."""
+    tables = {5: counts}
+    for k in (4, 3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    cuts, contexts = {}, {}
+    for k, t in tables.items():
+        n = [sum(v == i for v in t.values()) for i in range(5)]
+        if n[1] and n[2] and n[3]:
+            y = n[1] / (n[1] + 2 * n[2])
+            cut = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+            cuts[k] = [0] + [min(max(c, 0.05), i - 0.05) for i, c in enumerate(cut) if i]
+        else:
+            cuts[k] = [0, 0.5, 0.5, 0.5]
+        for g, v in t.items():
+            contexts.setdefault((k, g[:-1]), []).append(v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(tables[1]) + 1)
+        seen = contexts.get((k, g[:-1]))
+        if not seen:
+            return p(g[1:])
+        v, total = tables[k].get(g, 0), sum(seen)
+        return (v - cuts[k][min(v, 3)]) / total + sum(cuts[k][min(x, 3)] for x in seen) / total * p(g[1:])
+
+    return p
+
+
+def test_model_is_brute_force(spark):
     rng = random.Random(5)
-    text = "".join(rng.choices("abc ", k=400)).encode()
-    code, _ = perplexity.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    own, n = np.unique(code, return_counts=True)
-    model = perplexity.Model(own, n)
-    for context in (int(code[10]) >> 6, 0, 5 << 12):
-        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        total = np.exp2(model.units(every & np.uint32((1 << 24) - 1)) / perplexity.UNIT).sum()
-        assert total == pytest.approx(1, abs=1e-3)
-    assert all((np.diff(k.astype(np.float64)) > 0).all() for k in model.keys)
+    texts = ["".join(rng.choices("abcé漢 \n#", k=rng.randint(0, 90))) for _ in range(80)] + ["", None, "abc abc", "abc abc"]
+    fold = [zlib.crc32((t or "").encode()) & 1 for t in texts]
+    counts = [plain_grams([t for t, f in zip(texts, fold, strict=True) if f == k]) for k in (0, 1)]
+    every = perplexity.counts(docs(spark, texts))
+    got = {(r.fold, split(r.hi, r.lo)): r.n for r in every.where("k = 5").collect()}
+    assert got == {(f, g): n for f in (0, 1) for g, n in counts[f].items()}
+    model = perplexity.fit(every)
+    for swap in (True, False):
+        plain = [plain_kneser_ney(counts[1 - f if swap else f]) for f in (0, 1)]
+        rows = perplexity.probabilities(every, model, swap).collect()
+        assert len(rows) == len(got)
+        assert all(math.isclose(r.p, plain[r.fold](split(r.hi, r.lo)), rel_tol=1e-9) for r in rows)
+    # What may follow a context adds up to 1, with the share of what was never seen.
+    p, unseen = plain_kneser_ney(counts[0]), 1
+    alphabet = {g[-1] for g in counts[0]}
+    for context in {g[:-1] for g in counts[0]}:
+        assert sum(p((*context, c)) for c in alphabet) + p((*context, unseen)) == pytest.approx(1)
+
+
+def split(hi, lo):
+    low = (1 << 21) - 1
+    return (hi >> 21, hi & low, lo >> 42, lo >> 21 & low, lo & low)
+
+
+def test_large_models_are_dealt_out(spark, prose, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 2000)
+    df = spark.createDataFrame([(i, t, k, "s", 0) for i, (k, t) in enumerate(prose)] + [(900 + i, t, None, "s", 0) for i, t in enumerate(ODD)] + [(7, "x y", "en", "s", 0)] * 3, DOCS).repartition(3)
+    want = sorted(map(str, perplexity.scored(df, ["doc_id"]).collect()))
+    assert sorted(map(str, perplexity.scored(df, ["doc_id"], most=0).collect())) == want
 
 
 def test_quality_of_nothing(spark, odd):
@@ -204,9 +282,10 @@ def test_rank_queue_pops_in_order():
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 5)
+    monkeypatch.setattr(bpe, "MEMORY", 5 * (bpe.ENTRY + 10))
     e = bpe.Encoder({bytes([b]): b for b in range(256)}, r"\S+|\s+")
-    assert e.encode(" ".join(map(str, range(50)))) and len(e) <= 5
+    text = " ".join(str(k % 17) for k in range(500))
+    assert e.decode(e.encode(text)) == text.encode() and len(e) <= 5 and len(e.old) <= 5
 
 
 # ---------------------------------------------------------------- 4
