@@ -104,11 +104,23 @@ def to_time(x: str) -> str:
 
 
 def epoch(per_second: int) -> Text:
-    def either(x: str) -> str:
+    def of_time(x: str) -> str:
         per = 1_000_000 // per_second if per_second <= 1_000_000 else None
         return f"({times.us(x)} DIV {per})" if per else f"({times.us(x)} * {per_second // 1_000_000})"
 
-    return either
+    return of_time
+
+
+def from_epoch(per_second: int) -> Text:
+    """The time that a number of units since 1970 stands for."""
+    if per_second > 1_000_000:
+        return lambda x: times.from_us(f"(CAST({x} AS BIGINT) DIV {per_second // 1_000_000})")
+    return lambda x: times.from_us(f"CAST({x} AS BIGINT) * {1_000_000 // per_second}L")
+
+
+#: What functions of a time give for a number instead.
+OF_NUMBERS: dict[str, Text] = {"epoch_ms": from_epoch(1_000), "epoch_us": from_epoch(1_000_000), "epoch_ns": from_epoch(1_000_000_000)}
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 SPACE = r"[\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
@@ -264,6 +276,7 @@ AGGREGATES: dict[str, Text] = {
     "median": lambda x: f"percentile({numbers(x)}, 0.5)",
     "quantile_cont": lambda x, p: f"percentile({numbers(x)}, {p})",
     "quantile_t_digest": lambda x, p="0.5": f"CAST(approx_percentile({numbers(x)}, {p}, 10000) AS FLOAT)",
+    "approx_quantile": lambda x, p: f"CAST(approx_percentile({numbers(x)}, {p}, 10000) AS DOUBLE)",
     "uniq_exact": lambda x: f"count(DISTINCT {x})",
     "string_agg": lambda x, by="','": f"array_join(collect_list({x}), {by})",
     "bool_and": lambda x: f"bool_and({x})",
@@ -272,7 +285,7 @@ AGGREGATES: dict[str, Text] = {
 AGGREGATE_ALIASES = {
     "first": "arg_min", "min_by": "arg_min", "last": "arg_max", "max_by": "arg_max", "mean": "avg", "stddev_samp": "stddev", "var_samp": "variance",
     "var": "variance", "approx_count_distinct": "uniq_exact", "uniq": "uniq_exact", "weighted_avg": "vwap", "quantile": "quantile_cont",
-    "percentile_cont": "quantile_cont", "approx_quantile": "quantile_cont", "quantile_exact": "quantile_cont", "median_tdigest": "quantile_t_digest",
+    "percentile_cont": "quantile_cont", "quantile_exact": "quantile_cont", "median_tdigest": "quantile_t_digest",
 }
 
 

@@ -124,16 +124,20 @@ def _carried(ls: DataFrame, rs: DataFrame, names: list[str]) -> DataFrame:
     return every.select(*names, F.col("match.at").alias("at"), F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("seq"), "match", "slice")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], *, aliases: tuple[str, str] = ("l", "r"), how: str = "inner") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], *, aliases: tuple[str, str] = ("l", "r"), how: str = "inner", order: list[Column] = ()) -> DataFrame:
     """Each left row with the last right row of its keys: one match at most.
 
+    order: what makes a right row the last one.  Without it, the order in which files are
+    read: the same on each run over the same files, but arbitrary after a shuffle.
+
     The right side is reduced to a row for each key before it is joined; whether that
     side is then broadcast is decided by its size.
     """
     a, b = aliases
     names = [f"k{i}" for i in range(len(keys))]
-    rs = right.select(*[r.alias(n) for (_, r), n in zip(keys, names, strict=True)], F.struct("*").alias(b))
-    rs = rs.withColumn("seq", F.monotonically_increasing_id()).groupBy(*names).agg(F.max_by(b, "seq").alias(b))
+    place = F.struct(*order) if order else F.monotonically_increasing_id()
+    rs = right.select(*[r.alias(n) for (_, r), n in zip(keys, names, strict=True)], place.alias("seq"), F.struct("*").alias(b))
+    rs = rs.groupBy(*names).agg(F.max_by(b, "seq").alias(b))
     ls = left.select(*[k.alias(n) for (k, _), n in zip(keys, names, strict=True)], F.struct("*").alias(a))
     return ls.join(rs, names, how).select(a, b)
 

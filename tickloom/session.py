@@ -175,7 +175,7 @@ class Session:
             q = parse(f"SELECT * FROM {name}")
         p.need("TO")
         path = p.string()
-        kind, parts, overwrite = None, [], False
+        kind, parts, overwrite, options = None, [], False, {}
         if p.take("("):
             while True:
                 option = p.name().upper()
@@ -189,8 +189,10 @@ class Session:
                     overwrite = True
                     if p.now.upper in ("TRUE", "FALSE"):
                         overwrite = p.next().upper == "TRUE"
-                elif option in ("HEADER", "COMPRESSION"):
-                    p.next()
+                elif option == "HEADER":
+                    options["header"] = not (p.now.upper in ("TRUE", "FALSE") and p.next().upper == "FALSE")
+                elif option == "COMPRESSION":
+                    options["compression"] = (p.string() if p.now.kind == "string" else p.name()).lower()
                 else:
                     raise SqlError(f"COPY's option {option} isn't supported")
                 if not p.take(","):
@@ -203,5 +205,5 @@ class Session:
         df = Planner(self).query(q)
         if parts and not overwrite and files.exists(self.spark, path):
             raise SourceError(f"{path} isn't empty: write OVERWRITE_OR_IGNORE")
-        files.write(df, path, kind.lower() if kind else None, parts, overwrite)
+        files.write(df, path, kind.lower() if kind else None, parts, overwrite, **options)
         return Result(None, f"copied to {path}")

@@ -242,8 +242,11 @@ def read_json(spark: SparkSession, path: str | list[str], options: dict[str, Any
     return times(df)
 
 
-def write(df: DataFrame, path: str, kind: str | None = None, partition_by: list[str] = (), overwrite: bool = False) -> None:
-    """Rows to files: a directory of part files in Parquet, CSV or JSON lines."""
+def write(df: DataFrame, path: str, kind: str | None = None, partition_by: list[str] = (), overwrite: bool = False, header: bool | None = None, compression: str | None = None) -> None:
+    """Rows to files: a directory of part files in Parquet, CSV or JSON lines.
+
+    header: whether CSV files name their columns (they do unless told otherwise).
+    compression: a codec of the format."""
     kind = kind or kind_of(path) or "parquet"
     if kind not in ("parquet", "csv", "json", "orc"):
         raise SourceError(f"can't write {kind}: write parquet, csv or json")
@@ -251,5 +254,9 @@ def write(df: DataFrame, path: str, kind: str | None = None, partition_by: list[
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if kind == "csv":
-        w = w.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        w = w.option("header", str(header is not False).lower()).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    elif header is not None:
+        raise SourceError(f"HEADER is an option of csv, not of {kind}")
+    if compression is not None:
+        w = w.option("compression", {"zst": "zstd", "uncompressed": "none"}.get(compression, compression))
     w.format(kind).save(path)

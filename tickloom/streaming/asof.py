@@ -79,6 +79,13 @@ class AsOf(StatefulProcessor):
         pass
 
 
+def _keyed(right: DataFrame, keys: int) -> DataFrame:
+    """The right rows that any left row may match: a null key matches nothing."""
+    for i in range(keys):
+        right = right.where(F.col(f"k{i}").isNotNull())
+    return right
+
+
 def asof_stream(
     left: DataFrame,
     right: DataFrame,
@@ -108,7 +115,7 @@ def asof_stream(
             F.to_json(F.struct("*")).alias("payload"),
         ).where("at IS NOT NULL")
 
-    both = side(left, 0, left_time, [x for x, _ in keys]).unionByName(side(right, 1, right_time, [y for _, y in keys]))
+    both = side(left, 0, left_time, [x for x, _ in keys]).unionByName(_keyed(side(right, 1, right_time, [y for _, y in keys]), len(keys)))
     both = both.withWatermark("at", f"{micros(lateness)} microseconds")
     out = both.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(
         AsOf(how == "inner", strict, micros(tolerance) if tolerance else None), T.StructType([T.StructField("l", T.StringType()), T.StructField("r", T.StringType())]), "append", "EventTime"
@@ -138,7 +145,7 @@ def arrival_join(left: DataFrame, right: DataFrame, left_time: str, right_time:
         match = next((p for t, p in reversed(held) if t <= at), None)
         return [] if match is None and inner else [(row["payload"], match)]
 
-    both = side(left, 0, left_time, [x for x, _ in keys]).unionByName(side(right, 1, right_time, [y for _, y in keys]))
+    both = side(left, 0, left_time, [x for x, _ in keys]).unionByName(_keyed(side(right, 1, right_time, [y for _, y in keys]), len(keys)))
     schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("r", T.StringType())])
     # Within a batch right rows count as arrived by their time.
     out = carried(both.withColumn("turn", F.col("at_us") * 2 - F.col("side")), [f"k{i}" for i in range(len(keys))], ["turn"], list, feed, schema)
