@@ -12,7 +12,7 @@ from tickloom.operators.asof import asof_join, window_join
 from tickloom.operators.bars import latest, ohlcv, ordered_aggregate, rolled_up, sessions
 from tickloom.operators.ema import ema
 from tickloom.operators.gapfill import gapfill
-from tickloom.operators.orderbook import Book, orderbook_top_n
+from tickloom.operators.orderbook import KEPT, KEPT_US, Book, Message, Place, orderbook_top_n
 
 
 def stamps(spark, rows, extra):
@@ -67,7 +67,7 @@ def test_gapfill_edges(spark):
     carried = gapfill(rows, "ts", 10, ["k"], locf=["v"], start="TIMESTAMP_NTZ'1970-01-01 00:00:00'", finish="TIMESTAMP_NTZ'1970-01-01 00:00:00.000050'")
     assert carried.groupBy("k").count().orderBy("k").collect() == [("a", 5), ("b", 5)]
     far = stamps(spark, [(0, "a", 1.0), (700_000 * 10, "a", 2.0)], "k string, v double").select("ts", "k", "v")
-    assert gapfill(far, "ts", 10, ["k"]).count() == 2
+    assert gapfill(far, "ts", 10, ["k"]).agg(F.count("*"), F.countDistinct("ts"), F.max("ts") == F.timestamp_micros(F.lit(7_000_000)).cast("timestamp_ntz")).first() == (700_001, 700_001, True)
 
 
 def test_ema_keeps_state_over_nulls(spark):
@@ -96,17 +96,64 @@ def test_latest_and_sessions(spark):
     assert [r[0] for r in sessions(rows, ["k"], "ts", "5 us").orderBy("k", "ts").select("session").collect()] == [0, 0, 1, 0]
 
 
+def said(place, snapshot, bids=(), asks=()):
+    return Message(Place(*place), snapshot, list(bids), list(asks))
+
+
 def test_book_rules():
     book = Book(2)
-    assert book.message(False, (1, 1), [(10.0, 1.0)], []) is None  # nothing before a snapshot
-    top = book.message(True, (2, 2), [(10.0, 1.0), (9.0, 2.0)], [(11.0, 1.0)])
-    assert top == (((10.0, 1.0), (9.0, 2.0)), ((11.0, 1.0),))
-    assert book.message(False, (3, 3), [(8.0, 1.0)], []) is None  # below the top
-    assert book.message(False, (4, 4), [(11.5, 1.0)], [])[1] == ()  # crossed: the untouched side gives way
-    assert book.message(False, (3, 3), [(1.0, 1.0)], []) is None  # stale
-    assert book.message(False, (5, 5), [(float("nan"), 1.0)], []) is None
-    late = book.message(True, (3, 3), [(10.0, 1.0)], [(12.0, 1.0)])  # brought up to date with what came after it
-    assert late == (((11.5, 1.0), (10.0, 1.0)), ((12.0, 1.0),))
+    assert book.message(said((7, 7), False, [(20.0, 1.0)])) is None  # nothing before a snapshot
+    assert book.message(said((8, 8), True, [(20.0, 3.0), (19.5, 4.0)], [(20.5, 2.0)])) == (((20.0, 3.0), (19.5, 4.0)), ((20.5, 2.0),))
+    assert book.message(said((9, 9), False, [(18.0, 5.0)])) is None  # below the top
+    assert book.message(said((10, 10), False, [(20.75, 1.0)])) == (((20.75, 1.0), (20.0, 3.0)), ())  # crossed: the older side gives way
+    assert book.message(said((9, 9), False, [(1.0, 1.0)])) is None  # old
+    assert book.message(said((10, 10), False, [(20.75, 9.0)])) is None  # said already
+    assert book.message(said((11, 11), False, [(float("inf"), 1.0), (21.0, float("nan"))])) is None
+    assert book.message(said((12, 12), False, [(20.0, 0.0)])) == (((20.75, 1.0), (19.5, 4.0)), ())
+    # A late snapshot is brought up to date with the changes after it.
+    assert book.message(said((9, 9), True, [(20.0, 6.0)], [(21.5, 1.0)])) == (((20.75, 1.0), (18.0, 5.0)), ((21.5, 1.0),))
+
+
+def test_late_snapshots_need_all_changes():
+    book = Book(1)
+    book.message(said((0, 1), True, [(5.0, 1.0)]))
+    for k in range(2, KEPT + 4):
+        book.message(said((0, k), False, [(5.0, float(k))]))
+    assert book.message(said((0, 2), True, [(9.0, 1.0)])) is None  # changes since are gone
+    assert book.message(said((0, 3), True, [(9.0, 1.0)])) == (((9.0, 1.0),), ())
+    book.message(said((KEPT_US + 1, KEPT + 9), False, [(9.0, 2.0)]))
+    assert book.message(said((0, KEPT + 1), True, [(3.0, 1.0)])) is None  # too long ago
+
+
+def test_places_of_a_venue():
+    assert Place(5, 2).before(Place(4, 3), False) and not Place(5, 2).before(Place(4, 3), True)
+    assert Place(4, 0).before(Place(5, 1), True) and not Place(5, 0).before(Place(5, 9), False)
+    book = Book(1, restarts=True)
+    book.message(said((10, 90), True, [(5.0, 1.0)]))
+    assert book.message(said((11, 1), False, [(6.0, 1.0)])) == (((6.0, 1.0),), ())  # sequences began again
+    assert Book(1).due(said((1, 1), False)) == []
+
+
+def test_books_are_brute_force(spark):
+    """Random changes without old messages: each top is what a plain dict of levels says."""
+    rng = random.Random(8)
+    rows, want = [], []
+    for sym in "ab":
+        sides, shown = {"bid": {}, "ask": {}}, None
+        for k in range(200):
+            bids = [(float(rng.randint(1, 20)), float(rng.choice([0, 1, 2]))) for _ in range(rng.randint(0, 2))]
+            asks = [(float(rng.randint(21, 40)), float(rng.choice([0, 1, 2]))) for _ in range(rng.randint(0, 2))]
+            rows.append(("x", sym, k == 0, k, k + 1, [p for p, _ in bids], [a for _, a in bids], [p for p, _ in asks], [a for _, a in asks], k))
+            for side, levels in (("bid", bids), ("ask", asks)):
+                for price, amount in levels:
+                    sides[side][price] = amount
+            now = [sorted(((p, a) for p, a in sides[x].items() if a), reverse=x == "bid")[:3] for x in ("bid", "ask")]
+            if now != (shown or [[], []]):
+                want.append((sym, k, *([v[i] for v in side] for side in now for i in (0, 1))))
+                shown = now
+    df = spark.createDataFrame(rows, "exchange string, symbol string, is_snapshot boolean, time long, venue_sequence long, bid_price array<double>, bid_amount array<double>, ask_price array<double>, ask_amount array<double>, local_timestamp long")
+    got = orderbook_top_n(df.repartition(5), 3).select("symbol", "time", "bid_price", "bid_amount", "ask_price", "ask_amount").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_orderbook_needs_its_columns(spark):

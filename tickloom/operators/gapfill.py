@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.times import from_us, us
 from ..functions.widths import positive
 
-#: Without bounds on both ends a longer gap (in buckets) isn't filled.
-MOST = 65_536
+#: A row makes at most so many new ones at once; longer gaps are made in as many parts.
+PART = 65_536
 
 
 def gapfill(
@@ -31,7 +31,8 @@ def gapfill(
     the start's on and before the finish are there too.
 
     Each row makes the new rows that follow it, so there is no grid to join: one
-    window by key and a generator.
+    window by key and two generators, of parts and of the buckets of a part, so that the
+    longest gap takes no more memory than a part.
     """
     w = positive(width)
     names = rows.columns
@@ -43,10 +44,10 @@ def gapfill(
         out = out.withColumn(f"_to_{c}", F.lead(c).over(order))
     tail = f"CASE WHEN _next IS NULL THEN CAST(ceil(({us(finish)} - _at) / {w}) AS BIGINT) - 1 ELSE 0 END" if finish else "0"
     gap = f"coalesce((_next - _at) DIV {w} - 1, greatest({tail}, 0))"
-    if not (start and finish):
-        gap = f"CASE WHEN {gap} > {MOST} THEN 0 ELSE {gap} END"
     lead = f"CASE WHEN _first THEN greatest((_at - ({us(start)} - pmod({us(start)}, {w}))) DIV {w}, 0) ELSE 0 END" if start else "0"
-    out = out.withColumn("_gap", F.expr(f"CAST({gap} AS BIGINT)")).withColumn("_step", F.explode(F.expr(f"sequence(-CAST({lead} AS BIGINT), _gap)")))
+    out = out.withColumn("_lead", F.expr(f"-CAST({lead} AS BIGINT)")).withColumn("_gap", F.expr(f"CAST({gap} AS BIGINT)"))
+    out = out.withColumn("_part", F.explode(F.expr(f"sequence(_lead, _gap, {PART}L)")))
+    out = out.withColumn("_step", F.explode(F.expr(f"sequence(_part, least(_part + {PART - 1}L, _gap))")))
     made = []
     for c in names:
         if c == bucket:

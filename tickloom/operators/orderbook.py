@@ -3,14 +3,19 @@
 A book belongs to an exchange and symbol.  Its messages are read in arrival
 order, one after the other along sorted partitions, so a book's length isn't
 bounded by memory; what is held is the book itself.
+
+A message's position is its venue's time and sequence.  One that lies before what was
+taken last is old, and ignored, but for a snapshot: if every change since its position
+is still at hand, the book becomes that snapshot with those changes after it.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,126 +24,123 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 REQUIRED = ("exchange", "symbol", "is_snapshot", "time", "venue_sequence", "bid_price", "bid_amount", "ask_price", "ask_amount")
-#: Changes that are kept to bring a late snapshot up to date: how many, and how old in venue time.
+# How many changes are kept for a late snapshot, and for how much venue time.
 KEPT, KEPT_US = 256, 2_000_000
 
 
-@dataclass
-class Half:
-    """One side: amounts by price, and the prices in order from the best (bids are negated)."""
+class Place(NamedTuple):
+    """Where a message stands in its venue's order; sequence 0 is none."""
+
+    time: int
+    seq: int
+
+    def before(self, other: Place, restarts: bool) -> bool:
+        """By sequence if both have one (and by time first where sequences may restart), else by time."""
+        if not (self.seq and other.seq):
+            return self.time < other.time
+        return self < other if restarts else self.seq < other.seq
+
 
-    sign: int
-    amounts: dict[float, float] = field(default_factory=dict)
-    order: list[float] = field(default_factory=list)
+class Message(NamedTuple):
+    place: Place
+    snapshot: bool
+    bids: list[tuple[float, float]]
+    asks: list[tuple[float, float]]
 
-    def set(self, price: float, amount: float) -> None:
-        """The amount at a price; 0 deletes it.  What isn't finite is refused."""
-        if amount == 0:
-            if self.amounts.pop(price, None) is not None:
-                del self.order[bisect_left(self.order, self.sign * price)]
-        elif math.isfinite(price) and math.isfinite(amount):
-            if price not in self.amounts:
-                insort(self.order, self.sign * price)
-            self.amounts[price] = amount
 
-    def top(self, n: int) -> list[tuple[float, float]]:
-        return [(self.sign * p + 0.0, self.amounts[self.sign * p]) for p in self.order[:n]]
+class Ladder:
+    """One side's levels, best first.  A level's rank is its price, negated on the bid side."""
 
-    def best(self) -> float | None:
-        return self.sign * self.order[0] if self.order else None
+    def __init__(self, sign: int) -> None:
+        self.sign = sign
+        self.ranks: list[float] = []
+        self.amounts: list[float] = []
 
-    def clear(self) -> None:
-        self.amounts.clear()
-        self.order.clear()
+    def put(self, levels: list[tuple[float, float]]) -> None:
+        """Sets amounts; 0 takes a level away.  What isn't finite is refused."""
+        for price, amount in levels:
+            if not (math.isfinite(price) and math.isfinite(amount)):
+                continue
+            rank = self.sign * price
+            i = bisect_left(self.ranks, rank)
+            known = i < len(self.ranks) and self.ranks[i] == rank
+            if amount and known:
+                self.amounts[i] = amount
+            elif amount:
+                self.ranks.insert(i, rank)
+                self.amounts.insert(i, amount)
+            elif known:
+                del self.ranks[i], self.amounts[i]
+
+    def drop(self, upto: float) -> None:
+        """Takes away the best levels up to a rank."""
+        i = bisect_right(self.ranks, upto)
+        del self.ranks[:i], self.amounts[:i]
+
+    def top(self, n: int) -> tuple[tuple[float, float], ...]:
+        return tuple((self.sign * r + 0.0, a) for r, a in zip(self.ranks[:n], self.amounts[:n], strict=True))
 
 
-@dataclass
 class Book:
-    """A book of two halves and the top that was last given out."""
-
-    depth: int
-    reset: bool = False
-    bids: Half = field(default_factory=lambda: Half(-1))
-    asks: Half = field(default_factory=lambda: Half(1))
-    begun: bool = False
-    shown: tuple = ((), ())
-    seeded: bool = False
-    last: tuple[int, int] = (0, 0)  # time and sequence of what was last taken
-    start: tuple[int, int] = (0, 0)  # the position after which every change is kept
-    kept: list[tuple[tuple[int, int], list, list]] = field(default_factory=list)
-
-    def order(self, a: tuple[int, int], b: tuple[int, int]) -> int:
-        """How two positions (time, sequence) stand: below 0, 0 or above.  By sequence; by time
-        where either has none (0); by time, then sequence, where sequences may start again."""
-        if a[1] == 0 or b[1] == 0:
-            return (a[0] > b[0]) - (a[0] < b[0])
-        if not self.reset:
-            a, b = a[1:], b[1:]
-        return (a > b) - (a < b)
-
-    def newer(self, snapshot: bool, at: tuple[int, int]) -> bool:
-        """Whether a message isn't older than the book; a snapshot may be at its position."""
-        if not self.seeded:
-            if snapshot:
-                self.seeded, self.last = True, at
-            return True
-        place = self.order(at, self.last if at[1] else (self.last[0], 0))
-        timed = at[1] == 0
-        if place < 0 or (place == 0 and not snapshot and not timed):
-            return False
-        self.last = (at[0], at[1] or self.last[1])
-        return True
-
-    def message(self, snapshot: bool, at: tuple[int, int], bids: list, asks: list) -> tuple | None:
-        """Applies a message; the new top if it changed."""
-        if self.newer(snapshot, at):
-            if not (self.begun or snapshot):
-                return None
-            self.apply(snapshot, bids, asks)
-            if snapshot:
-                self.start, self.kept = at, []
-            else:
-                self.keep(at, bids, asks)
-            return self.changed()
-        # A late snapshot is brought up to date with the changes after it, if all are kept.
-        place = self.order(at, self.start)
-        timed = at[1] == 0 or self.start[1] == 0
-        if not snapshot or place < 0 or (place == 0 and timed):
-            return None
-        later = [k for k in self.kept if self.order(k[0], at) >= 0]
-        self.apply(True, bids, asks)
-        for _, b, a in later:
-            self.apply(False, b, a)
-        self.start, self.kept = at, later
-        return self.changed()
-
-    def keep(self, at: tuple[int, int], bids: list, asks: list) -> None:
-        self.kept.append((at, bids, asks))
-        while len(self.kept) > KEPT or at[0] - self.kept[0][0][0] > KEPT_US:
-            self.start = self.kept.pop(0)[0]
-
-    def apply(self, snapshot: bool, bids: list, asks: list) -> None:
-        if snapshot:
-            self.bids.clear()
-            self.asks.clear()
-            self.begun = True
-        for half, changes in ((self.asks, asks), (self.bids, bids)):
-            for price, amount in changes:
-                half.set(price, amount)
-        bid, ask = self.bids.best(), self.asks.best()
-        if bid is not None and ask is not None and bid >= ask:
-            # The side that the message didn't touch at its best is out of date.
-            loser = self.bids if any(p == ask for p, _ in asks) else self.asks
-            while self.bids.order and self.asks.order and self.bids.best() >= self.asks.best():
-                loser.set(loser.best(), 0)
-
-    def changed(self) -> tuple | None:
-        top = (tuple(self.bids.top(self.depth)), tuple(self.asks.top(self.depth)))
+    """The two sides, the changes kept for late snapshots, and the top that was last given out."""
+
+    def __init__(self, depth: int, restarts: bool = False) -> None:
+        self.depth, self.restarts = depth, restarts
+        self.bids, self.asks = Ladder(-1), Ladder(1)
+        self.newest: Place | None = None  # of what was taken; none before the first snapshot
+        self.complete_from = Place(0, 0)  # all changes after this place are kept
+        self.kept: deque[Message] = deque()
+        self.shown: tuple = ((), ())
+
+    def message(self, m: Message) -> tuple | None:
+        """Takes a message in; the new top if it changed."""
+        for x in self.due(m):
+            self.take(x)
+        top = (self.bids.top(self.depth), self.asks.top(self.depth))
         if top == self.shown:
             return None
         self.shown = top
         return top
 
+    def due(self, m: Message) -> list[Message]:
+        """What is to be taken in on a message's arrival, in order."""
+        if self.newest is None:
+            if not m.snapshot:
+                return []
+            self.newest = m.place
+        old = m.place.before(self.newest, self.restarts)
+        again = m.place.seq and not m.snapshot and not self.newest.before(m.place, self.restarts)
+        if not (old or again):
+            self.newest = Place(m.place.time, m.place.seq or self.newest.seq)
+            self.remember(m)
+            return [m]
+        known = self.complete_from
+        reaches = known.before(m.place, self.restarts) or (known.seq and m.place.seq and not m.place.before(known, self.restarts))
+        if not (m.snapshot and reaches):
+            return []
+        self.kept = deque(k for k in self.kept if not k.place.before(m.place, self.restarts))
+        self.complete_from = m.place
+        return [m, *self.kept]
+
+    def remember(self, m: Message) -> None:
+        if m.snapshot:
+            self.kept.clear()
+            self.complete_from = m.place
+            return
+        self.kept.append(m)
+        while len(self.kept) > KEPT or m.place.time - self.kept[0].place.time > KEPT_US:
+            self.complete_from = self.kept.popleft().place
+
+    def take(self, m: Message) -> None:
+        if m.snapshot:
+            self.bids, self.asks = Ladder(-1), Ladder(1)
+        self.bids.put(m.bids)
+        self.asks.put(m.asks)
+        if self.bids.ranks and self.asks.ranks and self.bids.ranks[0] + self.asks.ranks[0] <= 0:
+            # Crossed: the side whose best this message set is the newer one, and stays.
+            newer, older = (self.asks, self.bids) if any(p == self.asks.ranks[0] for p, _ in m.asks) else (self.bids, self.asks)
+            older.drop(-newer.ranks[0])
+
 
 SCHEMA = "exchange {exchange}, symbol {symbol}, time long, local_timestamp long, bid_price array<double>, bid_amount array<double>, ask_price array<double>, ask_amount array<double>"
 
@@ -160,7 +162,7 @@ def orderbook_top_n(updates: DataFrame, depth: int, arrival: str = "local_timest
             for ex, sym, snapshot, time, seq, bp, ba, ap, aa, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (ex, sym) != now:
                     now, book = (ex, sym), Book(depth, allow_seq_reset)
-                top = book.message(bool(snapshot), (time or 0, seq or 0), list(zip(bp or (), ba or (), strict=False)), list(zip(ap or (), aa or (), strict=False)))
+                top = book.message(Message(Place(time or 0, seq or 0), bool(snapshot), list(zip(bp or (), ba or (), strict=False)), list(zip(ap or (), aa or (), strict=False))))
                 if top is not None:
                     row = (ex, sym, time, at, *([x[k] for x in side] for side in top for k in (0, 1)))
                     for c, v in zip(out, row, strict=True):

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ema import decay
-from ..operators.orderbook import REQUIRED, Book
+from ..operators.orderbook import REQUIRED, Book, Message, Place
 from ..shipping import ship
 
 
@@ -105,7 +105,7 @@ def orderbook_stream(updates: DataFrame, depth: int, arrival: str = "local_times
         return list(zip([] if a is None else a, [] if b is None else b, strict=False))
 
     def feed(book: Book, row: dict) -> list[tuple]:
-        top = book.message(bool(row["is_snapshot"]), (int(row["time"]), int(row["venue_sequence"])), pairs(row["bid_price"], row["bid_amount"]), pairs(row["ask_price"], row["ask_amount"]))
+        top = book.message(Message(Place(int(row["time"]), int(row["venue_sequence"])), bool(row["is_snapshot"]), pairs(row["bid_price"], row["bid_amount"]), pairs(row["ask_price"], row["ask_amount"])))
         if top is None:
             return []
         return [(row["exchange"], row["symbol"], row["time"], row[arrival], *([x[k] for x in side] for side in top for k in (0, 1)))]
