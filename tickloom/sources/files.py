@@ -165,6 +165,9 @@ def read_csv(spark: SparkSession, path: str | list[str], options: dict[str, Any]
     r = spark.read.option("sep", sep).option("quote", options.get("quote", '"')).option("escape", options.get("escape", '"')).option("multiLine", "false")
     r = r.option("header", str(options.get("header", True)).lower()).option("inferSchema", "true").option("nullValue", nulls[0] if len(nulls) == 1 else "")
     r = r.option("timestampNTZFormat", "yyyy-MM-dd['T'][ ]HH:mm:ss[.SSSSSS]").option("ignoreLeadingWhiteSpace", "false")
+    if isinstance(options.get("columns"), dict):
+        # All columns are named, in order: nothing is to be found out.
+        r = r.option("inferSchema", "false").schema(T.StructType([T.StructField(c, T.StringType()) for c in options["columns"]]))
     if skip:
         # Lines before the header go: the rest is parsed as text lines.
         rows = spark.read.text(path, wholetext=False).withColumn("_i", F.monotonically_increasing_id())
@@ -253,8 +256,10 @@ def write(df: DataFrame, path: str, kind: str | None = None, partition_by: list[
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+    if kind in ("csv", "json"):
+        w = w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if kind == "csv":
-        w = w.option("header", str(header is not False).lower()).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        w = w.option("header", str(header is not False).lower())
     elif header is not None:
         raise SourceError(f"HEADER is an option of csv, not of {kind}")
     if compression is not None:
