@@ -395,9 +395,8 @@ def test_urls(spark):
         ("net", "", None), ("netx", "/", None), ("", "", None), ("", "", None), ("h", "", None),
     ]
     assert [g[3] for g in got[:5]] == ["block", "allow", "block", "block", "allow"] and got[10][3] == "block" and got[11][3] == "allow" and got[12][:2] == ("éÄ.net", "/ü")
-    weights, bias = urlfilter.train(spark)
-    plain, b = urlfilter.plain_model()
-    assert np.allclose(weights, plain) and math.isclose(bias, b)
+    weights, plain = urlfilter.train(spark), urlfilter.plain_model()
+    assert weights.keys() == plain.keys() and all(math.isclose(w, plain[k], abs_tol=1e-9) for k, w in weights.items())
     import duckdb
 
     c = duckdb.connect()
@@ -406,6 +405,22 @@ def test_urls(spark):
     assert [r[1:] for r in sorted(c.execute(urlfilter.oracle("frame")).fetchall())] == got
 
 
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Bad hosts with harmless paths, and harmless ones, none of them in the labelled table."""
+    bad = ["casino", "bets", "pills", "adult", "spam", "ads", "slots", "xxx", "viagra", "loans"]
+    good = ["orchard", "thermal", "nations", "teatre", "ponder", "shelter", "onward", "winter", "cinders", "blender", "adagio", "spandau", "farming", "clicks-and-mortar"]
+    frame = lambda host, k: f"https://{('www.', 'm.', 'blog.', '')[k % 4]}{host}.example.com/{('en', 'fr', 'es')[k % 3]}/{1000 + 37 * k}{('', '.html', '?page=2')[k % 3]}"
+    urls = [(k, frame(f"{x}-{y}" if k % 2 else f"{y}-{x}", k), x in bad) for k, (x, y) in enumerate((x, y) for x in [*bad, *good] for y in ("zone", "room", "today", "mart"))]
+    got = {r.page_id: r.verdict == "block" for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string, verdict boolean")).collect()}
+    assert np.mean([got[k] for k, _, x in urls if x]) >= 0.9
+    assert np.mean([got[k] for k, _, x in urls if not x]) <= 0.02
+
+
+def test_urls_of_nothing(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, Host string")
+    assert urlfilter.judge(empty).columns == ["page_id", "host", "path", "rule", "verdict"] and urlfilter.judge(empty).count() == 0
+
+
 # ---------------------------------------------------------------- 7
 
 
