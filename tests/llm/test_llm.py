@@ -341,18 +341,48 @@ modification, are permitted provided that the following conditions are met:
    this software without specific prior written permission."""
 
 
+def as_duckdb_reads_them(texts, got):
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    c.register("frame", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(map(tuple, got.values())) == sorted(c.execute(licenses.oracle("frame")).fetchall())
+
+
 def test_wrapped_licences(spark):
     texts = [x for t in (MIT, GPL, GPL.replace("software:", "software;").replace("tion, either version 3", "tion; either version 2"), BSD) for x in (t, " * " + t.replace("\n", "\n * "), t.replace("\n", "\r\n-- "))]
     texts += ["a title\nReleased under the MIT License\nmore", "Released under\n\nthe MIT License"]
     got = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
     want = ["MIT"] * 3 + ["GPL-3.0-or-later"] * 3 + ["GPL-2.0-or-later"] * 3 + ["BSD-3-Clause"] * 3 + ["MIT", None]
     assert [got[i].licence for i in range(len(texts))] == want
+    as_duckdb_reads_them(texts, got)
     assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is" and got[3].sentence_ids == "gpl-free gpl-redistribute gpl-version-3"
 
 
 def test_padded_licences(spark):
-    texts = ["Released under" + " #" * 5000 + " the MIT License", "- " * 200_000]
-    assert {r.doc_id: r.licence for r in licenses.report(docs(spark, texts)).collect()} == {0: "MIT", 1: None}
+    texts = ["Released under" + " #" * 5000 + " the MIT License", "- " * 200_000, "Released" + " " * 3000 + "under the MIT License", "a\n" * 50_000 + "SPDX-License-Identifier: ISC"]
+    got = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
+    assert [got[i].licence for i in range(4)] == ["MIT", None, "MIT", "ISC"]
+    as_duckdb_reads_them(texts, got)
+
+
+def test_licences_of_random_sentences(spark):
+    """Sentences of the table, cut, wrapped and padded at random, as DuckDB reads them."""
+    rng = random.Random(15)
+    known = [*licenses.SENTENCES.values(), *(x for _, x in licenses.FULL), "not a licence", "the software"]
+    joints = [". ", ".\n", "\n", "\n\n", " ", "; ", "!\r\n", "\n# ", ".", " -- "]
+    texts = ["".join(re.sub(" ", lambda m: rng.choice([" ", " ", " ", "  ", "\n * ", "\r\n"]), rng.choice(known)) + rng.choice(joints) for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    got = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
+    as_duckdb_reads_them(texts, got)
+    assert sum(r.licence is not None for r in got.values()) > 100
+
+
+def test_licences_carry_columns(spark):
+    rows = docs(spark, ["SPDX-License-Identifier: MIT", None]).selectExpr("*", "'mine' AS licence", "1 AS Sentence_IDs")
+    got = licenses.scan(rows)
+    assert got.columns == [*rows.columns, "sentence_ids_", "licences", "licence_"]
+    assert [(r.licence, r.licence_) for r in got.orderBy("doc_id").collect()] == [("mine", "MIT"), ("mine", None)]
 
 
 # ---------------------------------------------------------------- 5

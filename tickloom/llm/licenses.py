@@ -16,7 +16,8 @@ Everything is DataFrame functions on one row at a time: no shuffle and no
 Python.  Tables are literals of the size of the rule set.
 
 Defined cases: a null or empty text has no sentence and no licence (empty lists,
-null licence).  Repeated rows are each scanned.  Other columns are carried.
+null licence).  Repeated rows are each scanned.  Other columns are carried; where
+their names clash the new ones get a `_`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # Sentences of public licence notices, by identifier; as the cut leaves them.
 SENTENCES = {
     "apache2-notice": "Licensed under the Apache License, Version 2.0",
@@ -58,6 +61,24 @@ SENTENCES = {
     "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-gpl3-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-lgpl21-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-lgpl3-later": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "spdx-agpl3-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-epl2": "SPDX-License-Identifier: EPL-2.0",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-boost": "SPDX-License-Identifier: BSL-1.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-origin": "The origin of this software must not be misrepresented",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "agpl3-notice": "This program is licensed under the GNU Affero General Public License, version 3",
+    "lgpl21-notice": "This library is licensed under the GNU Lesser General Public License, version 2.1",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
 }
 # The standard notices' full sentences, with the identifiers that each stands for.
 FULL = (
@@ -95,6 +116,23 @@ RULES = (
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse")),
     ("BSD-3-Clause", ("spdx-bsd3",)),
     ("MPL-2.0", ("mpl2-notice",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)),
+    ("ISC", ("isc-grant", "isc-disclaimer")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("spdx-isc",)),
+    ("Unlicense", ("unlicense-domain",)),
+    ("Unlicense", ("spdx-unlicense",)),
+    ("Zlib", ("zlib-as-is", "zlib-origin")),
+    ("Zlib", ("spdx-zlib",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("BSL-1.0", ("spdx-boost",)),
+    ("AGPL-3.0-only", ("agpl3-notice",)),
+    ("AGPL-3.0-or-later", ("spdx-agpl3-later",)),
+    ("LGPL-2.1-only", ("lgpl21-notice",)),
+    ("LGPL-2.1-or-later", ("spdx-lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("spdx-lgpl3-later",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-2.0", ("spdx-epl2",)),
 )
 
 #: What is dropped at a sentence's ends and between words.
@@ -143,12 +181,14 @@ def matching(ids: Column, rules=RULES) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns with sentence_ids, licences (all that match) and licence (the first).
+    """The columns with sentence_ids, licences (all that match) and licence (the first); a name
+    that a document has already gets a `_`.
 
     Few texts hold a known sentence, so the rules see only those."""
-    ids = docs.withColumn("sentence_ids", identifiers(F.col(text)))
-    found = F.when(F.size("sentence_ids") > 0, matching(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>"))
-    return ids.withColumn("licences", found).withColumn("licence", F.try_element_at("licences", F.lit(1)))
+    ids, every, first = (fresh(docs.columns, n) for n in ("sentence_ids", "licences", "licence"))
+    rows = docs.withColumn(ids, identifiers(F.col(f"`{text}`")))
+    found = F.when(F.size(ids) > 0, matching(F.col(ids))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn(every, found).withColumn(first, F.try_element_at(every, F.lit(1)))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -163,28 +203,33 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def oracle(docs: str = "documents") -> str:
-    """The report in DuckDB's SQL."""
+    """The report in DuckDB's SQL, whose patterns have no look-around: marks are doubled instead,
+    so that two sentences side by side each have their own."""
 
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    forms = ", ".join(f"({text(form)}, {text(key)})" for form, key in known(SENTENCES).items())
+    forms = {form: (key,) for form, key in known(SENTENCES).items()}
+    for keys, sentence in FULL:
+        forms |= dict.fromkeys(known({"": sentence}), keys)
+    table = ", ".join(f"({text(form)}, {j}, {text(key)})" for form, keys in forms.items() for j, key in enumerate(keys))
+    pattern = "[HS](" + "|".join(re.escape(f).replace(r"\ ", "(?: |SS)") for f in sorted(forms, key=len, reverse=True)) + ")[HS]"
     rules = ", ".join(
         f"({k}, {text(name)}, {text(''.join(chr(92) + '|' + key + ('(' + chr(92) + '|.*)?' if i < len(keys) - 1 else chr(92) + '|') for i, key in enumerate(keys)))})"
         for k, (name, keys) in enumerate(RULES)
     )
-    return f"""
-WITH known(form, id) AS (VALUES {forms}), rules(k, name, pattern) AS (VALUES {rules}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(
-          regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '[\\n\\r]+') AS parts
-        FROM {docs}),
-one AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
-hit AS (SELECT o.r, o.i, k.id FROM one o JOIN known k
-        ON regexp_replace(regexp_replace(lower(o.part), '[^a-z0-9+.\\-]+', ' ', 'g'), '^[ .\\-]+|[ .\\-]+$', '', 'g') = k.form),
-ids AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids, '|' || string_agg(id, '|' ORDER BY i) || '|' AS joined FROM hit GROUP BY r),
+    return rf"""
+WITH known(form, j, id) AS (VALUES {table}), rules(k, name, pattern) AS (VALUES {rules}),
+marked AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(replace(lower(coalesce(text, '')), chr(13) || chr(10), chr(10)), '[.!?;]([ \t\n\r\f\x0B])', 'H\1', 'g') AS x FROM {docs}),
+plain AS (SELECT r, doc_id, 'H' || regexp_replace(x, '[^a-z0-9+.\-\n\rH]+', ' ', 'g') || 'H' AS x FROM marked),
+cut AS (SELECT r, doc_id, regexp_replace(regexp_replace(x, '[ .\-]*(?:H|[\n\r][ .\-]*[\n\rH])[ .\-\n\rH]*', 'H', 'g'), '[ .\-]*[\n\r]+[ .\-]*', 'S', 'g') AS x FROM plain),
+hits AS (SELECT r, doc_id, regexp_extract_all(replace(replace(x, 'H', 'HH'), 'S', 'SS'), {text(pattern)}, 1) AS found FROM cut),
+one AS (SELECT r, replace(unnest(found), 'SS', ' ') AS form, generate_subscripts(found, 1) AS i FROM hits),
+hit AS (SELECT o.r, o.i, k.j, k.id FROM one o JOIN known k ON o.form = k.form),
+ids AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i, j) AS ids, '|' || string_agg(id, '|' ORDER BY i, j) || '|' AS joined FROM hit GROUP BY r),
 names AS (SELECT i.r, u.name, min(u.k) AS k FROM ids i JOIN rules u ON regexp_matches(i.joined, u.pattern) GROUP BY i.r, u.name),
 lists AS (SELECT r, string_agg(name, ' ' ORDER BY k) AS names, arg_min(name, k) AS first FROM names GROUP BY r)
 SELECT c.doc_id, coalesce(i.n, 0)::BIGINT AS n_sentences, coalesce(i.ids, '') AS sentence_ids,
        coalesce(l.names, '') AS licences, l.first AS licence
-FROM cut c LEFT JOIN ids i ON c.r = i.r LEFT JOIN lists l ON c.r = l.r
+FROM hits c LEFT JOIN ids i ON c.r = i.r LEFT JOIN lists l ON c.r = l.r
 """
