@@ -32,7 +32,7 @@ from .common import Words, settled, ship, slices, table, utf8
 from .langid import held_out
 from .perplexity import measures, per_doc
 
-#: Labelled rows that are fitted on, nearly.
+#: Labelled rows that are fitted on, nearly; twice as many at most.
 SAMPLE = 20_000
 BINS, ROUNDS, RATE, CUTS, LEAST = 32, 150, 0.15, 3, 10.0
 PAIRS, PAIR_BINS, PAIR_ROUNDS = 4, 8, 60
@@ -214,7 +214,10 @@ def _scored(model):
 
 
 def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
-    """A model from feature rows (doc_id, x) and labels (doc_id, quality)."""
+    """A model from feature rows (doc_id, x) and labels (doc_id, quality).
+
+    A hash of doc_id picks about `sample` of the labelled rows; where a few ids have very many
+    rows it may pick more, of which the first 2 * sample by id count."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality")
     both = settled(rows.where(~held_out()).join(known, "doc_id"))
     share = min(1.0, sample / max(both.count(), 1))

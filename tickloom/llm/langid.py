@@ -8,7 +8,8 @@ n-gram that the language's profile lacks.
 
 N-grams are exact: three code points of 21 bits fill one 64-bit key.  Spark sums
 the counts of all training documents, and each language's profile is cut out
-where the counts are.  What reaches the driver is `TOP` rows for each language.
+where the counts are.  What reaches the driver at once is `TOP` rows for each language of
+a group of `MOST_LANGUAGES`; more languages are compared group after group.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0.  A
 null language trains nothing; a document without id is neither trained on nor
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct, fresh, ship, slices, utf8
+from .common import distinct, fresh, settled, ship, slices, table, utf8
 
 TOP = 300
 UNKNOWN = "und"
@@ -35,7 +36,7 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.05
 #: Distinct n-grams a task holds before it hands on their counts.
 HELD = 2_000_000
-#: Languages whose profiles fit the bound of a broadcast (300 rows of 16 bytes each).
+#: Languages whose profiles are broadcast together (300 rows of 16 bytes each); more go in groups.
 MOST_LANGUAGES = 8192
 
 _EDGE = 1
@@ -157,25 +158,22 @@ class Profiles:
         return self.langs[best], 1.0 - float(total[best]) / (self.top * len(own))
 
 
-def fit(docs: DataFrame, top: int = TOP) -> Profiles:
-    """Profiles from the columns `lang` and `text`."""
+def ranks(docs: DataFrame, top: int = TOP) -> DataFrame:
+    """lang, gram and rank of each language's profile, from the columns `lang` and `text`."""
     ship(docs.sparkSession)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = (
-        docs.where("lang is not null")
-        .select("lang", "text")
-        .mapInArrow(_trained, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("lang", "gram", "rank")
-        .limit(MOST_LANGUAGES * top + 1)
-        .collect()
-    )
-    if len(rows) > MOST_LANGUAGES * top:
-        raise ValueError(f"over {MOST_LANGUAGES} languages: their profiles are too large to broadcast")
-    return Profiles([tuple(r) for r in rows], top)
+    counts = docs.where("lang is not null").select("lang", "text").mapInArrow(_trained, "lang string, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank")
+
+
+def fit(docs: DataFrame, top: int = TOP, most: int = MOST_LANGUAGES) -> list[Profiles]:
+    """The profiles of all languages, in groups of at most `most` or so (by a hash of the name)."""
+    rows = settled(ranks(docs, top))
+    parts = -(-rows.where("rank = 1").count() // most)
+    group = F.pmod(F.xxhash64("lang"), F.lit(parts))
+    each = [rows.where(group == i) if parts > 1 else rows for i in range(parts)]
+    return [Profiles([tuple(r) for r in own.collect()], top) for own in each]  # `top` rows a language
 
 
 def _predicted(profiles, text: int, carried: int):
@@ -194,16 +192,31 @@ def _predicted(profiles, text: int, carried: int):
     return run
 
 
-def predict(docs: DataFrame, profiles: Profiles, carry: list[str], text: str = "text") -> DataFrame:
-    """The columns `carry` with lang_pred and score."""
+def _nearest(docs: DataFrame, profiles: Profiles, carry: list[str], text: str) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     at = carry.index(text) if text in carry else len(carry)
     columns = [*carry, *([text] if at == len(carry) else [])]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     schema = T.StructType([*plain.schema.fields[: len(carry)], T.StructField("p0", T.StringType()), T.StructField("p1", T.DoubleType())])
-    out = plain.mapInArrow(_predicted(spark.sparkContext.broadcast(profiles), at, len(carry)), schema)
-    return out.toDF(*carry, fresh(carry, "lang_pred"), fresh(carry, "score"))
+    return plain.mapInArrow(_predicted(spark.sparkContext.broadcast(profiles), at, len(carry)), schema)
+
+
+def predict(docs: DataFrame, profiles: list[Profiles], carry: list[str], text: str = "text") -> DataFrame:
+    """The columns `carry` with lang_pred and score.
+
+    A worker holds one group of profiles at a time: of several groups each goes over the
+    texts in turn, and the nearest language so far is kept."""
+    ship(docs.sparkSession)
+    names = [fresh(carry, "lang_pred"), fresh(carry, "score")]
+    out = _nearest(docs, profiles[0] if profiles else Profiles([]), [*carry, *([text] if len(profiles) > 1 and text not in carry else [])], text)
+    for more in profiles[1:]:
+        kept = [f"c{i}" for i in range(len(out.columns) - 2)]
+        before = table(out.toDF(*kept, "q0", "q1"), "languages")
+        own = f"c{carry.index(text) if text in carry else len(carry)}"
+        both = _nearest(before, more, before.columns, own).toDF(*before.columns, "p0", "p1")
+        better = (F.col("p1") > F.col("q1")) | (F.col("p1") == F.col("q1")) & (F.col("p0") < F.col("q0"))
+        out = both.select(*kept, F.when(better, F.col("p0")).otherwise(F.col("q0")).alias("p0"), F.greatest("p1", "q1").alias("p1"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("p0").alias(names[0]), F.col("p1").alias(names[1]))
 
 
 def held_out(doc_id: str = "doc_id"):
