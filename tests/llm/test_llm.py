@@ -404,6 +404,38 @@ def test_rank_distance_is_the_definition():
     assert langid.Profiles([]).nearest(np.array([2], np.uint64)) == ("und", 0.0)
 
 
+def plain_profile(texts, top=300):
+    """The most frequent letter n-grams of texts; words edged by U+0001, ties by the packed symbols."""
+    n = Counter()
+    for t in texts:
+        letters = [ord(x.lower()) + 2 if x.isalpha() else 1 for x in t or ""]
+        stream = [c for i, c in enumerate(letters) if c > 1 or i and letters[i - 1] > 1]
+        for i, c in enumerate(stream):
+            back = [1, 1, *stream[:i]][-2:]
+            n[(c,)] += c > 1
+            n[back[1], c] += 1
+            if i:
+                n[back[0], back[1], c] += 1
+    number = lambda g: sum(c << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted((g for g in n if n[g]), key=lambda g: (-n[g], number(g)))[:top]
+
+
+@pytest.mark.parametrize("most", [langid.MOST_LANGUAGES, 1])
+def test_languages_are_brute_force(spark, prose, most):
+    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate(prose)] + [(900 + i, t, "xx", "s", 0) for i, t in enumerate(["Ärger ... ab", "a b\nc", "", "12"])]
+    df = spark.createDataFrame(rows, DOCS)
+    profiles = {k: plain_profile(t for _, t, own, *_ in rows if own == k) for k in ("de", "en", "fr", "xx")}
+    got = {r.doc_id: r for r in langid.predict(df, langid.fit(df, most=most), ["doc_id", "text"]).collect()}
+    for i, t, *_ in rows:
+        own = plain_profile([t])
+        if not own:
+            assert (got[i].lang_pred, got[i].score, got[i].text) == ("und", 0.0, t)
+            continue
+        far = {k: sum(abs(p.index(g) - r) if g in p else 300 for r, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert (got[i].lang_pred, got[i].text) == (best, t) and got[i].score == pytest.approx(1 - far[best] / (300 * len(own)))
+
+
 def test_languages_of_nothing(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs(spark, ["abc", "d"], lang=None)).collect()} == {"und"}
@@ -602,6 +634,48 @@ def test_quality_held_out(spark):
     assert {r.score for r in gam.classify(df, lab.limit(0)).collect()} == {0.5}
 
 
+def plain_gam(x, y):
+    """The boosting of lookup tables by plain loops over rows."""
+    n, width = len(y), len(x[0])
+    edges = [sorted({float(np.quantile([r[j] for r in x], q)) for q in np.linspace(0, 1, gam.BINS + 1)[1:-1]}) for j in range(width)]
+    bins = [[sum(e <= r[j] for e in edges[j]) for j in range(width)] for r in x]
+    p = (sum(y) + 1) / (n + 2)
+    out = [math.log(p / (1 - p))] * n
+    for _ in range(gam.ROUNDS):
+        for j in range(width):
+            g, h = [0.0] * (len(edges[j]) + 1), [0.0] * (len(edges[j]) + 1)
+            for r in range(n):
+                q = 1 / (1 + math.exp(-out[r]))
+                g[bins[r][j]] += q - y[r]
+                h[bins[r][j]] += q * (1 - q)
+            leaves = [(0, len(g))]
+            for _ in range(gam.CUTS):
+                found = []
+                for a, b in leaves:
+                    for k in range(a + 1, b):
+                        gl, hl, gr, hr = sum(g[a:k]), sum(h[a:k]), sum(g[k:b]), sum(h[k:b])
+                        if hl >= gam.LEAST / 4 and hr >= gam.LEAST / 4:
+                            found.append((gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gl + gr) ** 2 / (hl + hr + 1), a, b, k))
+                best = max(found, default=(0, 0, 0, 0), key=lambda f: f[0])
+                if best[0] <= 1e-9:
+                    break
+                leaves.remove(best[1:3])
+                leaves += [(best[1], best[3]), (best[3], best[2])]
+            for r in range(n):
+                a, b = next(v for v in leaves if v[0] <= bins[r][j] < v[1])
+                out[r] -= gam.RATE * sum(g[a:b]) / (sum(h[a:b]) + 1)
+    return [1 / (1 + math.exp(-v)) for v in out]
+
+
+def test_boosting_is_brute_force(monkeypatch):
+    monkeypatch.setattr(gam, "ROUNDS", 6)
+    monkeypatch.setattr(gam, "PAIR_ROUNDS", 0)
+    rng = random.Random(16)
+    x = [[rng.random(), rng.gauss(0, 1), rng.choice([0.0, 1.0, 2.0])] for _ in range(160)]
+    y = [float(r[0] + 0.3 * r[1] + 0.2 * r[2] + rng.gauss(0, 0.2) > 0.7) for r in x]
+    assert np.allclose(gam.fit(np.array(x), np.array(y)).score(np.array(x)), plain_gam(x, y))
+
+
 def test_gam_finds_an_interaction():
     rng = np.random.default_rng(12)
     x = rng.random((3000, len(gam.FEATURES)))
@@ -674,6 +748,29 @@ def test_pipeline(spark, tmp_path):
     assert sorted(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()) == sorted(rows.collect())
 
 
+CLASHES = ("verdict", "bits", "m_units", "lang_pred", "Score", "p0", "c0", "n", "set", "prefix", "unit", "taken", "size", "ids", "decoded", "block", "fold")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_rows(spark, prose, tmp_path, empty):
+    """Nulls in every column, empty and long texts, repeated rows, more columns with clashing names; and no rows."""
+    import corpus_pipeline
+
+    rows = [(i, t, k, f"s{i % 3}", len(t)) for i, (k, t) in enumerate(prose)]
+    rows += [(200 + i, t, "en", "s0", 1) for i, t in enumerate(ODD)] + [(0, *rows[0][1:]), (300, rows[1][1], None, None, None), (None, rows[2][1], None, None, None), (None, None, None, None, None)]
+    start = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"CAST(NULL AS STRING) AS {c}" for c in CLASHES])
+    docs_ = start.limit(0) if empty else start
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs_, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == start.columns
+            assert after.join(docs_, after.text.eqNullSafe(docs_.text), "left_anti").count() == 0
+        assert (after.count() == 0) == empty
+        docs_ = after
+
+
 def test_partners_in_large_groups_only(spark, monkeypatch):
     """With groups of two at most nearly all shared shingles are in large groups."""
     monkeypatch.setattr(sigtree, "GROUP", 2)
