@@ -77,6 +77,22 @@ def test_ema_keeps_state_over_nulls(spark):
     assert ema(rows.where("k = 'z'"), ["k"], ["t"], {"e": ("x", 0.5)}).count() == 0
 
 
+def test_ema_is_the_recurrence(spark):
+    rng = random.Random(9)
+    rows = [(k, t, rng.choice([None, rng.gauss(0, 5), rng.gauss(0, 5)])) for k, n in (("a", 900), ("b", 3), (None, 70), ("c", 500)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t long, x double").repartition(5)
+    want, state = {}, {}
+    for k, t, x in rows:
+        s = state.get(k)
+        if x is not None:
+            state[k] = s = x if s is None else 0.2 * x + 0.8 * s
+        want[k, t] = s
+    for rows_at_once in ("7", "2000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+        got = {(r.k, r.t): r.e for r in ema(df, ["k"], ["t"], {"e": ("x", 0.2)}).collect()}
+        assert got == {key: v if v is None else pytest.approx(v) for key, v in want.items()}
+
+
 def test_rolled_up_bars_equal_wide_ones(spark):
     rng = random.Random(7)
     rows = stamps(spark, [(i * 1_000_000, rng.choice("ab"), float(rng.randrange(100)), 1.0) for i in range(500)], "symbol string, price double, size double")
