@@ -145,3 +145,30 @@ def test_arrival_join(spark, events, tmp_path):
     s.register("e", df)
     want = s.query("SELECT l.v, l.k, r.v AS w FROM (SELECT * FROM e WHERE v % 2 = 1) l ASOF LEFT JOIN (SELECT * FROM e WHERE v % 2 = 0) r ON l.k = r.k AND l.ts >= r.ts").collect()
     assert sorted(map(repr, spark.table("arrival_test").collect())) == sorted(repr(r) for r in want)
+
+
+def test_kafka_messages_have_headers(spark):
+    rows = spark.sql("SELECT 1L AS id, 'x\"y' AS t, CAST(NULL AS DOUBLE) AS v, map('dedup', '7') AS _tp_message_headers UNION ALL SELECT 2L, NULL, 1.5D, NULL")
+    got = live.kafka_rows(rows, "id").orderBy("key").collect()
+    assert [(r.key, r.value) for r in got] == [("1", '{"id":1,"t":"x\\"y","v":null}'), ("2", '{"id":2,"t":null,"v":1.5}')]
+    assert [[(h.key, bytes(h.value)) for h in r.headers] for r in got] == [[("dedup", b"7")], []]
+    assert live.kafka_rows(rows.drop(live.HEADERS)).columns == ["value"]
+
+
+def test_rows_of_the_future_are_left_out(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", 1), ("2024-01-01 00:01:01", 2), ("2924-01-01 00:00:00", 3), ("2024-01-01 00:02:30", 4), (None, 5)]
+    spark.createDataFrame(rows, "t string, v long").selectExpr("CAST(t AS TIMESTAMP_NTZ) AS ts", "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = Session(spark)
+    live.file_stream(s, "e", str(tmp_path / "in"), "ts", ahead="1 h")
+    live.start(s, "SELECT time_bucket('1m', ts) AS minute, sum(v) AS v FROM e GROUP BY minute", str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_null_keys_match_nothing_over_streams(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", None, 0), ("2024-01-01 00:00:02", None, 1), ("2024-01-01 00:00:01", "a", 2), ("2024-01-01 00:00:02", "a", 3), ("2024-01-01 01:00:00", "z", 9)]
+    spark.createDataFrame(rows, "t string, k string, v long").selectExpr("CAST(t AS TIMESTAMP_NTZ) AS ts", "k", "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("ts timestamp_ntz, k string, v long").parquet(str(tmp_path / "in"))
+    joined = asof_stream(source.where("v % 2 = 1"), source.where("v % 2 = 0"), "ts", "ts", [("k", "k")])
+    q = joined.select("l.v", "r.v").toDF("l", "r").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    assert {(r.l, r.r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {(1, None), (3, 2)}
