@@ -31,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, distinct, fresh, mix, settled, ship, slices, small, table, utf8
+from .common import Words, distinct, fresh, give_back, mix, settled, ship, slices, small, table, utf8
 
 ORDER = 5
 #: Largest number of n-grams (12 bytes each) whose probabilities are broadcast.
 HASHES = 4_000_000
 #: Bytes of text of a block, where they aren't.
 BLOCK_BYTES = 4 << 20
-#: Distinct n-grams that a task holds before it hands on their counts.
+#: N-grams that a task holds before it sums their counts up; it hands on half as many distinct ones.
 HELD = 1_000_000
+#: Symbols that are sorted at once, in words of the place and of numbers of so many bits.
+PLACE, SHORT = 20, 8
+STRETCH = 1 << PLACE
 #: Base rules: fewest words, and the largest share of words in repeated windows.
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -75,9 +79,8 @@ _is_letter = np.array([chr(b).isalnum() if b < 0x80 else b >= 0xC0 for b in rang
 # ---------------------------------------------------------------- n-grams of texts
 
 
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram that ends at each kept character (its first two symbols, its last three),
-    and each document's bounds among them."""
+def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all documents, each with single spaces, and each document's bounds among them."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
     space = (points == 32) | ((points >= 9) & (points <= 13))
@@ -86,18 +89,76 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before[at[:-1][at[:-1] < len(points)]] = True
     keep = ~(space & before)
     at = np.concatenate([[0], np.cumsum(keep)])[at]
-    c = np.where(space, 32, points)[keep].astype(np.uint64) + np.uint64(1)
-    own = np.arange(len(c)) - np.repeat(at[:-1], np.diff(at))
-    hi, lo = np.zeros(len(c), np.uint64), c.copy()
-    for k in range(1, ORDER):
-        past = np.zeros(len(c), np.uint64)
-        past[k:] = c[:-k]
-        past[own < k] = 0
+    return np.where(space, np.uint32(32), points)[keep] + np.uint32(1), at
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams that end at some places: their fold, their first two symbols and their
+    last three, the places in the order of the n-grams, and how many each has."""
+
+    fold: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+    places: np.ndarray
+    n: np.ndarray
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return hashed(self.fold, self.hi, self.lo)
+
+
+def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[list[Grams], np.ndarray]:
+    """The n-grams of all documents, by stretches of `STRETCH` symbols, and each document's bounds
+    among the symbols."""
+    c, at = symbols(data, bounds)
+    fold = np.repeat(folds(data, bounds), np.diff(at))
+    own = np.minimum(np.arange(len(c)) - np.repeat(at[:-1], np.diff(at)), ORDER - 1).astype(np.uint8)
+    return [_distinct(c, own, fold, i, min(i + STRETCH, len(c))) for i in range(0, len(c), STRETCH)], at
+
+
+def _back(c: np.ndarray, own: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """The symbols k before some places; 0 before a document's first."""
+    return np.where(own[places] >= k, c[places - k], 0).astype(np.uint64)
+
+
+def _packed(c: np.ndarray, own: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hi, lo = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
+    for k in range(ORDER):
         if k < 3:
-            lo |= past << np.uint64(POINT * k)
+            lo |= _back(c, own, places, k) << np.uint64(POINT * k)
         else:
-            hi |= past << np.uint64(POINT * (k - 3))
-    return hi, lo, at
+            hi |= _back(c, own, places, k) << np.uint64(POINT * (k - 3))
+    return hi, lo
+
+
+def _distinct(c: np.ndarray, own: np.ndarray, fold: np.ndarray, start: int, end: int) -> Grams:
+    used = np.flatnonzero(np.bincount(c[max(0, start - ORDER) : end]))
+    if len(used) < 1 << SHORT:
+        # Few symbols: their numbers and the place fill one word, and sorting words is quick.
+        number = np.zeros(used[-1] + 1, np.uint8)
+        number[used] = np.arange(1, len(used) + 1)
+        first = max(0, start - ORDER)
+        short = number[c[first:end]]
+        word = fold[start:end] << np.uint64(SHORT * ORDER + PLACE)
+        word |= np.arange(end - start, dtype=np.uint64)
+        for k in range(ORDER):
+            past = np.zeros(end - start, np.uint64)
+            skip = max(0, k - (start - first))
+            past[skip:] = short[start - first + skip - k : end - first - k]
+            past[own[start:end] < k] = 0
+            word |= past << np.uint64(SHORT * k + PLACE)
+        word.sort()
+        places = (word & np.uint64(STRETCH - 1)).astype(np.int64) + start
+        word >>= np.uint64(PLACE)
+    else:
+        every = np.arange(start, end)
+        word = hashed(fold[start:end], *_packed(c, own, every))
+        order = np.argsort(word)
+        word, places = word[order], every[order]
+    at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    hi, lo = _packed(c, own, places[at])
+    return Grams(fold[places[at]], hi, lo, places, np.diff(np.append(at, len(word))))
 
 
 def folds(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -111,22 +172,19 @@ def hashed(fold: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return mix(mix(hi ^ (fold << np.uint64(60))) ^ lo)
 
 
-def _summed(h: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct hashes in order, with what belongs to them and their summed counts."""
-    order = np.argsort(h)
-    h = h[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[at], [x[order[at]] for x in rest], np.add.reduceat(n[order], at) if len(at) else n
-
-
 def _counted(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def merged() -> None:
             h, fold, hi, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            h, rest, n = _summed(h, [fold, hi, lo], n)
-            held[:] = [(h, *rest, n)]
+            held.clear()
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.add.reduceat(n[order], at)
+            order = order[at]
+            held.append((h[at], fold[order], hi[order], lo[order], n))
 
         def given() -> Iterator[pa.RecordBatch]:
             for _, fold, hi, lo, n in held:
@@ -138,20 +196,16 @@ def _counted(column: str):
         for batch in batches:
             data, bounds = utf8(batch.column(column))
             for i, j in slices(bounds):
-                own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                hi, lo, where = grams(own, at)
-                if not len(lo):
-                    continue
-                fold = np.repeat(folds(own, at), np.diff(where))
-                h, rest, n = _summed(hashed(fold, hi, lo), [fold, hi, lo], np.ones(len(lo), np.int64))
-                held.append((h, *rest, n))
-                if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > HELD // 2:
+                for g in grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0]:
+                    held.append((g.hashes, g.fold.astype(np.uint8), g.hi, g.lo, g.n))
+                if len(held) > 1 and sum(len(x[0]) for x in held) > HELD:
                     merged()
-                    if len(held[0][0]) > HELD:
+                    if len(held[0][0]) > HELD // 2:
                         yield from given()
         if held:
             merged()
             yield from given()
+        give_back()
 
     return run
 
@@ -176,13 +230,14 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     order occur, and how many symbols stand before the shorter ones."""
     ship(docs.sparkSession)
     now = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counted("text"), "fold long, hi long, lo long, n long")
-    now = now.groupBy(*GRAM).agg(F.sum("n").alias("n"))
-    every = now.withColumn("k", F.lit(ORDER))
+    # Written before it is read for the shorter ones, so that texts are counted once.
+    longest = table(now.groupBy(*GRAM).agg(F.sum("n").alias("n")), "ngrams")
+    now, shorter = longest, []
     for k in range(ORDER - 1, 0, -1):
         hi, lo = _suffix(k)
         now = now.select("fold", hi.alias("hi"), lo.alias("lo")).groupBy(*GRAM).agg(F.count("*").alias("n"))
-        every = every.unionByName(now.withColumn("k", F.lit(k)))
-    return table(every, "ngrams")
+        shorter.append(now.withColumn("k", F.lit(k)))
+    return longest.withColumn("k", F.lit(ORDER)).unionByName(table(reduce(DataFrame.unionByName, shorter), "ngrams"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -277,16 +332,11 @@ class Hashes:
         order = np.argsort(h)
         self.h, self.units = h[order], rows.column("units").to_numpy()[order]
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """The units of n-grams, all of which must be there."""
-        if not len(h):
-            return np.zeros(0, np.int64)
-        order = np.argsort(h)
-        ranked = h[order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        at = np.searchsorted(self.h, ranked[first])
-        out = np.empty(len(h), np.int64)
-        out[order] = self.units[at][np.cumsum(first) - 1]
+    def of(self, parts: list[Grams], n: int) -> np.ndarray:
+        """The units of the n-gram at each of n places; all n-grams must be there."""
+        out = np.empty(n, np.int64)
+        for g in parts:
+            out[g.places] = np.repeat(self.units[np.searchsorted(self.h, g.hashes)], g.n)
         return out
 
 
@@ -338,8 +388,8 @@ def _judged(data: np.ndarray, bounds: np.ndarray, known: Hashes) -> list[pa.Arra
     for i, j in slices(bounds):
         own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         part = measures(own, at)
-        hi, lo, where = grams(own, at)
-        units = known.of(hashed(np.repeat(folds(own, at), np.diff(where)), hi, lo))
+        each, where = grams(own, at)
+        units = known.of(each, where[-1])
         part["n_letters"] = np.diff(np.concatenate([[0], np.cumsum(_is_letter[own])])[at])
         part["units"] = np.diff(np.concatenate([[0], np.cumsum(units)])[where])
         parts.append(part)
@@ -382,9 +432,9 @@ def _wanted(column: str) -> Callable:
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 for i, j in slices(bounds[a : b + 1]):
                     own, at = data[bounds[a + i] : bounds[a + j]], bounds[a + i : a + j + 1] - bounds[a + i]
-                    hi, lo, where = grams(own, at)
-                    h = distinct(hashed(np.repeat(folds(own, at), np.diff(where)), hi, lo))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block[a])), pa.array(h.view(np.int64))], ["block", "h"])
+                    for g in grams(own, at)[0]:
+                        h = g.hashes
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block[a])), pa.array(h.view(np.int64))], ["block", "h"])
 
     return run
 
