@@ -31,11 +31,15 @@ from pyspark.sql import types as T
 
 from .common import fresh, ship, slices, utf8
 
-#: Pre-tokens of which a worker remembers the ids, and the longest such one in characters.
-MEMORY = 1_000_000
+#: Bytes of ids that a worker remembers in each of two generations, the bytes that a pre-token
+#: takes besides its own, and the longest such one in characters.
+MEMORY, ENTRY = 48 << 20, 150
 MEMORABLE = 48
 
 
+BITS = [1 << i for i in range(64)]
+
+
 class RankQueue:
     """Positions by rank, lowest rank first, then lowest position."""
 
@@ -46,43 +50,50 @@ class RankQueue:
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            i = rank >> 6
-            self.low[i] |= 1 << (rank & 63)
-            self.mid[i >> 6] |= 1 << (i & 63)
-            self.top |= 1 << (i >> 6)
-        else:
-            heappush(bucket, position)
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
+            return
+        self.buckets[rank] = [position]
+        i, j = rank >> 6, rank >> 12
+        low = self.low[i]
+        self.low[i] = low | BITS[rank & 63]
+        if not low:  # else the levels above know it
+            self.mid[j] |= BITS[i & 63]
+            self.top |= 1 << j
 
     def pop(self) -> tuple[int, int] | None:
         top = self.top
         if not top:
             return None
-        a = (top & -top).bit_length() - 1
-        mid = self.mid[a]
-        i = (a << 6) + (mid & -mid).bit_length() - 1
+        j = (top & -top).bit_length() - 1
+        mid = self.mid[j]
+        i = (j << 6) + (mid & -mid).bit_length() - 1
         low = self.low[i]
         bit = low & -low
         rank = (i << 6) + bit.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] = low = low ^ bit
-            if not low:
-                self.mid[a] = mid = mid ^ (1 << (i & 63))
-                if not mid:
-                    self.top ^= 1 << a
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.low[i] = low = low ^ bit
+        if not low:
+            self.mid[j] = mid = mid & (mid - 1)
+            if not mid:
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Encoder(dict):
-    """Packed ids (little-endian unsigned 32-bit) by pre-token, worked out when first asked for."""
+    """Packed ids (little-endian unsigned 32-bit) by pre-token, worked out when first asked for.
+
+    What it holds is the young generation.  When that is full it becomes the old one, and
+    what is asked for again becomes young: rare pre-tokens go, within a bound in bytes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
@@ -92,10 +103,15 @@ class Encoder(dict):
             self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merged(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.merged(piece.encode()), "<u4").tobytes()
         if len(piece) <= MEMORABLE:
-            if len(self) >= MEMORY:
+            size = ENTRY + len(piece) + len(ids)
+            if self.held + size > MEMORY:
+                self.old, self.held = dict(self), 0
                 self.clear()
+            self.held += size
             self[piece] = ids
         return ids
 
@@ -108,20 +124,19 @@ class Encoder(dict):
         n, get, longest = len(piece), ranks.get, self.longest
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # the rank of the pair that starts at a position now
+        # The rank of the pair that starts at a position now.
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair += (-1, -1)
         push, pop = self.queue.push, self.queue.pop
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 push(rank, i)
         while (entry := pop()) is not None:
             rank, i = entry
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i] = end
+            after[i] = end = after[gone]
             pair[gone] = pair[i] = -1
             if end < n:
                 before[end] = i
@@ -131,12 +146,11 @@ class Encoder(dict):
                     push(rank, i)
             left = before[i]
             if left >= 0:
-                rank = get(piece[left:end]) if end - left <= longest else None
-                if rank is None:
-                    pair[left] = -1
-                elif pair[left] != rank:
+                rank = get(piece[left:end], -1) if end - left <= longest else -1
+                if pair[left] != rank:
                     pair[left] = rank
-                    push(rank, left)
+                    if rank >= 0:
+                        push(rank, left)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
