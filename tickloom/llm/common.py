@@ -7,6 +7,9 @@ document, never by the partition.
 
 from __future__ import annotations
 
+import ctypes
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,14 +35,20 @@ _IS_SEPARATOR[list(SEPARATORS)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Only where there are no other executors (a local master, as in tests) may none be
+    named: a temporary folder stands for it then."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(sc, "_tickloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="tickloom-")
         sc._tickloom_shared = named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,8 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows computed once and kept in the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return table(df, "settled")
+
+
+def replaced(df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The rows settled; then the table that they came from, which nothing else reads, goes."""
+    new = settled(df)
+    if old is not None:
+        place = old.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(old.place)
+        place.getFileSystem(old.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return new
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
@@ -63,7 +80,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = passing(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows.place = path
+    return rows
 
 
 def passing(spark: SparkSession, name: str) -> str:
@@ -107,14 +126,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents with at most so many bytes, or one document.
 
-    After the last one Arrow's unused memory goes back: idle workers would keep it.
+    After the last one unused memory goes back: idle workers would keep it.
     """
     n, i = len(bounds) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands the unused memory of Arrow, and of the C library where it can, to the system."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -127,10 +153,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(way: str, n: int) -> np.ndarray:
-    if len(_powers[way]) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), _BASE if way == "up" else _INVERSE, np.uint64)
+    """The first n powers; kept for slices, made anew for longer texts."""
+    most = SLICE_BYTES + 1
+    if n > len(_powers[way]):
+        steps = np.full(max(n, most), _BASE if way == "up" else _INVERSE, np.uint64)
         steps[0] = 1
-        _powers[way] = np.cumprod(steps)
+        powers = np.cumprod(steps)
+        if n > most:
+            return powers
+        _powers[way] = powers
     return _powers[way][:n]
 
 

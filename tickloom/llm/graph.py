@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import replaced, settled
 
 #: Steps double the reach at least every few rounds; this many are never needed.
 MOST_ROUNDS = 64
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = settled(_tidy(edges.select("a", "b")))
     size = _size(now)
     for _ in range(MOST_ROUNDS):
-        now = settled(_small(_large(now)))
+        now = replaced(_small(_large(now)), now)
         before, size = size, _size(now)
         if size == before:
             break
