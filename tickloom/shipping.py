@@ -10,9 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch: of whole texts, the usual 10,000 are too many for a worker's memory.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable in Python workers, once per application."""
-    sc = spark.sparkContext
+    """Makes the package importable in Python workers, once per application, and keeps the
+    batches that they get small."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(sc, "_tickloom_shipped", False):
         return
     top = Path(__file__).resolve().parent
