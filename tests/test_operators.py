@@ -79,7 +79,7 @@ def test_ema_keeps_state_over_nulls(spark):
 
 def test_ema_is_the_recurrence(spark):
     rng = random.Random(9)
-    rows = [(k, t, rng.choice([None, rng.gauss(0, 5), rng.gauss(0, 5)])) for k, n in (("a", 900), ("b", 3), (None, 70), ("c", 500)) for t in range(n)]
+    rows = [(k, t, rng.choice([None, rng.gauss(0, 5), rng.gauss(0, 5)])) for k, n in (("a", 5000), ("b", 3), (None, 70), ("c", 500)) for t in range(n)]
     df = spark.createDataFrame(rows, "k string, t long, x double").repartition(5)
     want, state = {}, {}
     for k, t, x in rows:

@@ -28,8 +28,8 @@ def starts(keys: list[pa.Array], n: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-#: Values that are averaged at once.
-BLOCK = 64
+#: Values that are averaged at once, and from how many on that is worth its other order of adding.
+BLOCK, LONG = 64, 1024
 
 
 def averaged(x: np.ndarray, a: float, start: float | None) -> np.ndarray:
@@ -39,7 +39,7 @@ def averaged(x: np.ndarray, a: float, start: float | None) -> np.ndarray:
     if not len(x):
         return out
     s = x[0] if start is None else start
-    if len(x) < BLOCK:
+    if len(x) < LONG:
         for i, v in enumerate(x.tolist()):
             out[i] = s = a * v + (1 - a) * s
     else:
