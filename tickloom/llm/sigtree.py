@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, distinct, lower_ascii, mix, settled, ship, slices, table, utf8
+from .common import Words, distinct, fresh, lower_ascii, mix, settled, ship, slices, table, utf8
 from .graph import components
 
 #: Prefix shingles that partners must share: this share of the set.
@@ -47,8 +47,10 @@ COMMON = 0.05
 #: Largest group of which all pairs are counted.
 GROUP = 8
 #: Shingles in more than this share of the documents (and this many at least) come last in
-#: the order.  Their number is bounded by the mean set size over the share.
-FREQUENT, FREQUENT_LEAST = 0.001, 16
+#: the order; at most so many of them, as each has at least that part of all shingles.
+FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 16, 1_000_000
+#: Shares in which the documents of a shingle of a large group are linked.
+SHARES = 256
 #: Shingles of a block of a large cluster.
 BLOCK = 500_000
 FAN, CHUNK = 8, 8192
@@ -106,7 +108,7 @@ def _counted(m: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
-        docs = 0
+        docs = shingles = 0
 
         def merge() -> None:
             nonlocal keys, counts
@@ -128,20 +130,24 @@ def _counted(m: Measure):
             for i, j in slices(bounds):
                 held += shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], m.words)
                 docs += j - i
+                shingles += sum(map(len, held[i - j :]))
                 if sum(map(len, held)) > HELD:
                     merge()
         merge()
         kept = counts >= max(3, FREQUENT / 2 * docs)
         yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(counts[kept])], ["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([shingles])], ["shingle", "n"])  # of all
 
     return run
 
 
 def frequent(docs: DataFrame, m: Measure, text: str = "text") -> np.ndarray:
     """The corpus's most frequent shingles, sorted."""
-    least = max(FREQUENT_LEAST, FREQUENT * docs.count())
-    rows = docs.select(text).mapInArrow(_counted(m), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(rows.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+    rows = settled(docs.select(text).mapInArrow(_counted(m), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
+    every = rows.where("shingle IS NULL").first()
+    least = max(FREQUENT_LEAST, FREQUENT * docs.count(), (every.n if every else 0) / FREQUENT_MOST)
+    found = rows.where(F.col("shingle").isNotNull() & (F.col("n") >= least)).select("shingle").toArrow()
+    return np.sort(found["shingle"].to_numpy().view(np.uint64))
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -215,9 +221,18 @@ def candidates(sets: DataFrame, m: Measure) -> DataFrame:
     pairs = pairs.where(F.col("s") >= enough - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))).select("a", "b")
 
     alone = wide.join(heavy.where("h >= l").select("doc_id"), "doc_id").select("doc_id", "shingle")
-    first = alone.groupBy("shingle").agg(F.min("doc_id").alias("b"))
-    chains = alone.join(first, "shingle").select(F.col("doc_id").alias("a"), "b").where("a != b")
-    return pairs.unionByName(chains)
+    return pairs.unionByName(chains(alone))
+
+
+def chains(rows: DataFrame) -> DataFrame:
+    """Pairs a, b that connect all documents of each shingle, from doc_id and shingle: each is
+    linked to the first one of its share of the shingle's documents, and that one to the first
+    of all, so no task has more of a shingle than a share."""
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
+    near = rows.groupBy("shingle", "share").agg(F.min("doc_id").alias("b"))
+    far = near.groupBy("shingle").agg(F.min("b").alias("a"))
+    own = rows.join(near, ["shingle", "share"]).select(F.col("doc_id").alias("a"), "b")
+    return own.unionByName(near.join(far, "shingle").select("a", "b")).where("a != b")
 
 
 def units(clusters: DataFrame, m: Measure, block: int = BLOCK) -> DataFrame:
@@ -398,7 +413,10 @@ def join(docs: DataFrame, m: Measure = QUERY, block: int = BLOCK) -> DataFrame:
     clusters = components(candidates(one, m)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
     parts = units(settled(clusters.join(sizes, "doc_id")), m, block)
-    found = components(links(docs, parts, m))
+    # An id that stands on several texts links what they are linked with.
+    several = known.join(known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "doc_id")
+    same = several.join(classes, "set").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links(docs, parts, m).unionByName(same))
     rep = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rep = rep.select("set", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "set").join(rep, "set", "left")
@@ -407,8 +425,11 @@ def join(docs: DataFrame, m: Measure = QUERY, block: int = BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, m: Measure = STAGE) -> DataFrame:
-    """One document of each component, its first, with its columns; of repeated rows one.
-    Rows without doc_id stay."""
+    """One document of each component, its first, with its columns; of rows with one doc_id
+    the one with the first text.  Rows without doc_id stay."""
     first = join(docs, m).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    text, place = F.sha2(F.coalesce("text", F.lit("")), 256), fresh(docs.columns, "place")
+    one = Window.partitionBy("doc_id").orderBy(text, *[F.col(f"`{c}`") for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
+    named = named.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
     return named.unionByName(docs.where("doc_id IS NULL"))
