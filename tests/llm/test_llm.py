@@ -606,6 +606,22 @@ def test_jaccard_join_odd_rows(spark):
     assert sigtree.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_ids_on_several_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l"), (3, "g h i j k l"), (4, "m n o p"), (4, "q r s t"), (5, "q r s t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted({(r.doc_id, r.component_id) for r in sigtree.join(df).collect()}) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    want = min(("m n o p", "q r s t"), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert sorted(map(tuple, sigtree.keep_one(df.repartition(3), sigtree.QUERY).collect())) == [(1, "a b c d e f"), (4, want)]
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "FREQUENT_MOST", 20)
+    df = docs(spark, [" ".join(f"w{k}" for k in range(j, j + 60)) for j in range(40)] * 2 + ["p q r s t"] * 300)
+    assert len(sigtree.frequent(df, sigtree.QUERY)) == 2  # each of at least a twentieth of all shingles
+    monkeypatch.setattr(sigtree, "FREQUENT_MOST", 1000)
+    assert len(sigtree.frequent(df, sigtree.QUERY)) > 20
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
