@@ -9,17 +9,15 @@ from __future__ import annotations
 
 import ctypes
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship as ship  # for the operators of this subpackage
+from ..shared import passing as passing  # for the operators of this subpackage
+from ..shipping import ship as ship
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
@@ -39,23 +37,6 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" el
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it.
-
-    Only where there are no other executors (a local master, as in tests) may none be
-    named: a temporary folder stands for it then."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = getattr(sc, "_tickloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        sc._tickloom_shared = named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
-    return named
-
-
 def settled(df: DataFrame) -> DataFrame:
     """The rows computed once and kept in the shared folder, without their lineage."""
     return table(df, "settled")
@@ -65,11 +46,18 @@ def replaced(df: DataFrame, old: DataFrame | None) -> DataFrame:
     """The rows settled; then the table that they came from, which nothing else reads, goes."""
     new = settled(df)
     if old is not None:
-        place = old.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(old.place)
-        place.getFileSystem(old.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        forget(old)
     return new
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(df.place)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """A settled table of few rows, to be broadcast if they are indeed at most so many; else as it is."""
     return F.broadcast(df) if df.count() <= most else df
@@ -85,16 +73,6 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return rows
 
 
-def passing(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, which goes when the application ends."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(place)
-    fs.deleteOnExit(place)
-    return f"{folder}/rows"
-
-
 def fresh(taken: list[str], name: str) -> str:
     """`name`, lengthened until it clashes with no column (in any letter case)."""
     low = {x.lower() for x in taken}

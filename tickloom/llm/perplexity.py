@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, distinct, fresh, give_back, mix, settled, ship, slices, small, table, utf8
+from .common import Words, distinct, forget, fresh, give_back, mix, settled, ship, slices, small, table, utf8
 
 ORDER = 5
 #: Largest number of n-grams (12 bytes each) whose probabilities are broadcast.
@@ -237,7 +237,10 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         hi, lo = _suffix(k)
         now = now.select("fold", hi.alias("hi"), lo.alias("lo")).groupBy(*GRAM).agg(F.count("*").alias("n"))
         shorter.append(now.withColumn("k", F.lit(k)))
-    return longest.withColumn("k", F.lit(ORDER)).unionByName(table(reduce(DataFrame.unionByName, shorter), "ngrams"))
+    others = table(reduce(DataFrame.unionByName, shorter), "ngrams")
+    every = longest.withColumn("k", F.lit(ORDER)).unionByName(others)
+    every.tables = (longest, others)
+    return every
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -321,7 +324,10 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """h and units (the information in 2^-16 bits) of each n-gram of the documents."""
     every = counts(docs, text)
-    return table(probabilities(every, fit(every)).mapInArrow(_stored, "h long, units int"), "scores")
+    model = fit(every)
+    found = table(probabilities(every, model).mapInArrow(_stored, "h long, units int"), "scores")
+    forget(model.contexts, *every.tables)
+    return found
 
 
 class Hashes:
@@ -473,6 +479,7 @@ def scored(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "l
     else:
         rows = _scored_blocks(need, known, at[text], keep, schema)
     rows = table(rows, "perplexity")
+    forget(known)
     rows = rows.withColumn("bits", F.col("m_units") / F.lit(float(UNIT)) / F.greatest(F.col("m_n_letters"), F.lit(1)))
     bands = small(fences(rows.where(F.col("m_n_words") >= MIN_WORDS), at[lang]))
     base = (F.col("m_n_words") < MIN_WORDS) | (100 * F.col("m_n_repeat_words") > MAX_REPEATED * F.col("m_n_words"))
