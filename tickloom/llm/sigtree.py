@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, distinct, fresh, lower_ascii, mix, settled, ship, slices, table, utf8
+from .common import Words, distinct, fresh, lower_ascii, mix, settled, ship, slices, small, table, utf8
 from .graph import components
 
 #: Prefix shingles that partners must share: this share of the set.
@@ -245,7 +245,8 @@ def units(clusters: DataFrame, m: Measure, block: int = BLOCK) -> DataFrame:
     next_to = [parts.select("cluster", (F.col("c") - d).alias("c"), F.col("k").alias(f"k{i}")) for i, d in enumerate((1, -1))]
     for other in next_to:
         parts = parts.join(other, ["cluster", "c"], "left")
-    rows = rows.join(parts.drop("w", "total"), ["cluster", "c"], "left")
+    # Few clusters are split: their parts go to the rows, not a large cluster's rows to one task.
+    rows = rows.join(small(settled(parts.drop("w", "total"))), ["cluster", "c"], "left")
     rows = rows.withColumn("i", F.expr("cast(pmod(xxhash64(doc_id), k) as int)"))
     spread = F.expr("""
         CASE WHEN k IS NULL THEN array(struct(concat_ws(':', cluster) AS unit, 0 AS side)) ELSE concat(
