@@ -3,16 +3,20 @@ rows, empty tables and clashing names; brute force, exact round trips, held-out
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import os
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import bpe, chat, common, gam, graph, langid, licenses, mixing, ogg, perplexity, queries, sigtree, urlfilter
@@ -288,6 +292,22 @@ def test_memory_is_bounded(monkeypatch):
     assert e.decode(e.encode(text)) == text.encode() and len(e) <= 5 and len(e.old) <= 5
 
 
+def test_encoders_go_with_the_next_operator(spark, tmp_path):
+    path = tmp_path / "bytes.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)))
+
+    def held(batches):
+        from tickloom.llm import bpe
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._encoders)] * len(batch))], ["n"])
+
+    df = spark.range(800).selectExpr("id AS doc_id", "concat('word ', id) AS text").repartition(8)
+    for _ in range(2):
+        assert bpe.digests(df, str(path), r"\S+|\s+").count() == 800
+        assert {r.n for r in df.mapInArrow(held, "n long").collect()} == {0}
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -436,6 +456,38 @@ def test_languages_are_brute_force(spark, prose, most):
         assert (got[i].lang_pred, got[i].text) == (best, t) and got[i].score == pytest.approx(1 - far[best] / (300 * len(own)))
 
 
+def peak(run, batch) -> int:
+    """Bytes that a task's function takes at most besides its input and what it keeps from task to task."""
+    list(run(iter([batch.slice(0, 100)])))
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_languages_take_little_memory():
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefgh  ", k=2000)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 500), pa.array(texts)], ["lang", "text"])
+    profiles = langid.Profiles([("en", 99, 1), ("de", 100, 1)])
+    assert peak(langid._trained, batch) < 30 << 20
+    assert peak(langid._predicted(SimpleNamespace(value=profiles), 1, 1), batch) < 30 << 20
+
+
+def test_counts_of_slices_add_up():
+    rng = random.Random(15)
+    total, want = None, Counter()
+    for _ in range(30):
+        keys = np.array(rng.choices(range(1, 200), k=rng.randint(1, 40)), np.uint64)
+        want.update(keys.tolist())
+        total = langid._added(*total, *langid._counts(keys)) if total else langid._counts(keys)
+    total = langid._added(*total, *langid._counts(np.zeros(3, np.uint64)))
+    assert list(zip(total[0].tolist(), total[1].tolist(), strict=True)) == sorted(want.items())
+
+
 def test_languages_of_nothing(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs(spark, ["abc", "d"], lang=None)).collect()} == {"und"}

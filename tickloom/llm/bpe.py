@@ -18,9 +18,9 @@ encoded whole.  Repeated rows each give a row; other columns are carried.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -171,14 +171,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-_encoders: dict[str, Encoder] = {}
+#: By vocabulary broadcast, then by pattern.  A worker drops the broadcast, and so the encoders, with
+#: its first task that doesn't use it: else their memory would stand beside that of other operators.
+_encoders: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _encoder(vocabulary, pattern: str, key: str) -> Encoder:
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary.value, pattern)
-    return _encoders[key]
+def _encoder(vocabulary, pattern: str) -> Encoder:
+    own = _encoders.setdefault(vocabulary, {})
+    if pattern not in own:
+        own[pattern] = Encoder(vocabulary.value, pattern)
+    return own[pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text: str = "text", decode: bool = False) -> DataFrame:
@@ -187,18 +189,17 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text: str
     spark = docs.sparkSession
     ship(spark)
     ranks = read_ranks(path)
-    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
     vocabulary = spark.sparkContext.broadcast(ranks)
     names = [fresh(carry, "ids")] + [fresh(carry, "decoded")] * decode
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("text"))
     schema = T.StructType([*plain.schema.fields[:-1], *(T.StructField(f"o{i}", T.BinaryType()) for i in range(len(names)))])
-    out = plain.mapInArrow(_encoded(vocabulary, pattern, key, len(carry), decode), schema)
+    out = plain.mapInArrow(_encoded(vocabulary, pattern, len(carry), decode), schema)
     return out.toDF(*carry, *names)
 
 
-def _encoded(vocabulary, pattern: str, key: str, carried: int, decode: bool) -> Callable:
+def _encoded(vocabulary, pattern: str, carried: int, decode: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(vocabulary, pattern, key)
+        coder = _encoder(vocabulary, pattern)
         for batch in batches:
             texts = batch.column(carried)
             _, bounds = utf8(texts)

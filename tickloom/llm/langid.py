@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct, fresh, settled, ship, slices, table, utf8
+from .common import SLICE_BYTES, fresh, settled, ship, slices, table, utf8
 
 TOP = 300
 UNKNOWN = "und"
@@ -36,6 +36,8 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.05
 #: Distinct n-grams a task holds before it hands on their counts.
 HELD = 2_000_000
+#: Bytes of text whose n-grams a task holds at once: some 150 bytes for each.
+PART_BYTES = SLICE_BYTES // 4
 #: Languages whose profiles are broadcast together (300 rows of 16 bytes each); more go in groups.
 MOST_LANGUAGES = 8192
 
@@ -45,7 +47,7 @@ _EDGE = 1
 @cache
 def _letters() -> np.ndarray:
     """By code point: 0 if it isn't a letter, else 2 more than its lower case."""
-    out = np.zeros(0x110000, np.uint64)
+    out = np.zeros(0x110000, np.uint32)
     for p in range(0x40000):
         x = chr(p)
         if x.isalpha():
@@ -66,7 +68,7 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = at[:-1][at[:-1] < len(c)]
     keep[first] = letter[first]
     at = np.concatenate([[0], np.cumsum(keep)])[at]
-    c = c[keep]
+    c = c[keep].astype(np.uint64)
     c[c == 0] = _EDGE
     own = np.arange(len(c)) - np.repeat(at[:-1], np.diff(at))
     back = [np.full(len(c), _EDGE, np.uint64) for _ in range(2)]
@@ -81,13 +83,23 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(keys[keys > 0])
+    x = keys[keys > 0]
+    x.sort()
     if not len(x):
         return x, np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     return x[at], np.diff(np.append(at, len(x)))
 
 
+def _added(old: np.ndarray, old_n: np.ndarray, got: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of two arrays of sorted keys, the first not empty; its counts are changed."""
+    at = np.searchsorted(old, got)
+    there = old[np.minimum(at, len(old) - 1)] == got
+    old_n[at[there]] += n[there]
+    new = ~there
+    return np.insert(old, at[new], got[new]), np.insert(old_n, at[new], n[new])
+
+
 def ranked(keys: np.ndarray, top: int = TOP) -> np.ndarray:
     """The most frequent keys, most frequent first; ties by key."""
     own, n = _counts(keys)
@@ -111,20 +123,15 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, bounds = utf8(batch.column(1))
-        for i, j in slices(bounds):
+        for i, j in slices(bounds, PART_BYTES):
             keys, at = grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             own = np.array(langs[i:j], object)
             which = np.repeat(np.arange(j - i), np.diff(at))
             for lang in set(own.tolist()):
                 got, n = _counts(keys[(own == lang)[which]].ravel())
                 if lang in held:
-                    old, old_n = held[lang]
-                    both = distinct(np.concatenate([old, got]))
-                    total = np.zeros(len(both), np.int64)
-                    total[np.searchsorted(both, old)] += old_n
-                    total[np.searchsorted(both, got)] += n
-                    held[lang] = both, total
-                else:
+                    held[lang] = _added(*held[lang], got, n)
+                elif len(got):
                     held[lang] = got, n
             if sum(len(own) for own, _ in held.values()) > HELD:
                 yield from flush()
@@ -181,7 +188,7 @@ def _predicted(profiles, text: int, carried: int):
         known = profiles.value
         for batch in batches:
             data, bounds = utf8(batch.column(text))
-            for i, j in slices(bounds):
+            for i, j in slices(bounds, PART_BYTES):
                 keys, at = grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 got = [known.nearest(ranked(keys[a:b].ravel(), known.top)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, distinct, forget, fresh, give_back, mix, settled, ship, slices, small, table, utf8
+from .common import SLICE_BYTES, Words, distinct, forget, fresh, give_back, mix, settled, ship, slices, small, table, utf8
 
 ORDER = 5
 #: Largest number of n-grams (12 bytes each) whose probabilities are broadcast.
 HASHES = 4_000_000
 #: Bytes of text of a block, where they aren't.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text whose n-grams a task works out at once: some 150 bytes for each.
+PART_BYTES = SLICE_BYTES // 2
 #: N-grams that a task holds before it sums their counts up; it hands on half as many distinct ones.
 HELD = 1_000_000
 #: Symbols that are sorted at once, in words of the place and of numbers of so many bits.
@@ -174,35 +176,41 @@ def hashed(fold: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 def _counted(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = [[], [], [], [], []]  # hashes, fold, hi, lo and n
+
+        def whole(k: int) -> np.ndarray:
+            x = np.concatenate(held[k])
+            held[k].clear()  # so that no two columns stand twice at a time
+            return x
 
         def merged() -> None:
-            h, fold, hi, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
+            h = whole(0)
             order = np.argsort(h)
             h = h[order]
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            n = np.add.reduceat(n[order], at)
+            held[0].append(h[at])
+            del h
+            held[4].append(np.add.reduceat(whole(4)[order], at))
             order = order[at]
-            held.append((h[at], fold[order], hi[order], lo[order], n))
+            for k in (1, 2, 3):
+                held[k].append(whole(k)[order])
 
         def given() -> Iterator[pa.RecordBatch]:
-            for _, fold, hi, lo, n in held:
-                for i in range(0, len(n), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (fold, hi, lo, n)], [*GRAM, "n"])
-            held.clear()
+            _, *columns = (x.pop() for x in held)
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].astype(np.int64)) for x in columns], [*GRAM, "n"])
 
         for batch in batches:
             data, bounds = utf8(batch.column(column))
-            for i, j in slices(bounds):
+            for i, j in slices(bounds, PART_BYTES):
                 for g in grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0]:
-                    held.append((g.hashes, g.fold.astype(np.uint8), g.hi, g.lo, g.n))
-                if len(held) > 1 and sum(len(x[0]) for x in held) > HELD:
+                    for x, own in zip(held, (g.hashes, g.fold.astype(np.uint8), g.hi, g.lo, g.n), strict=True):
+                        x.append(own)
+                if len(held[0]) > 1 and sum(map(len, held[0])) > HELD:
                     merged()
                     if len(held[0][0]) > HELD // 2:
                         yield from given()
-        if held:
+        if held[0]:
             merged()
             yield from given()
         give_back()
@@ -391,7 +399,7 @@ def per_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _judged(data: np.ndarray, bounds: np.ndarray, known: Hashes) -> list[pa.Array]:
     """The metrics, letters and units of each document."""
     parts: list[dict[str, np.ndarray]] = []
-    for i, j in slices(bounds):
+    for i, j in slices(bounds, PART_BYTES):
         own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         part = measures(own, at)
         each, where = grams(own, at)
@@ -436,7 +444,7 @@ def _wanted(column: str) -> Callable:
             data, bounds = utf8(batch.column(column))
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                for i, j in slices(bounds[a : b + 1]):
+                for i, j in slices(bounds[a : b + 1], PART_BYTES):
                     own, at = data[bounds[a + i] : bounds[a + j]], bounds[a + i : a + j + 1] - bounds[a + i]
                     for g in grams(own, at)[0]:
                         h = g.hashes
