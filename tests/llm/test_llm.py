@@ -177,6 +177,12 @@ def plain_kneser_ney(counts):
     return p
 
 
+def test_plan_of_probabilities_is_one_order_s(spark):
+    every = perplexity.counts(docs(spark, ["ab abc", "abcd b"]))
+    longest = perplexity.probabilities(every, perplexity.fit(every))
+    assert longest._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3 and len(longest.tables) == perplexity.ORDER - 1
+
+
 def test_model_is_brute_force(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abcé漢 \n#", k=rng.randint(0, 90))) for _ in range(80)] + ["", None, "abc abc", "abc abc"]

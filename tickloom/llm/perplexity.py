@@ -299,9 +299,10 @@ def probabilities(needed: DataFrame, model: Model, swap: bool = True) -> DataFra
     them.  swap: each fold by the other fold's model, instead of its own.
 
     Order by order, each distinct n-gram meets its own mass, its context's weight and the
-    probability of the n-gram without its first symbol."""
+    probability of the n-gram without its first symbol.  The shorter ones are written order by
+    order: the plan of all orders at once takes the driver's memory."""
     by = (1 - F.col("fold")) if swap else F.col("fold")
-    below = None
+    below, tables = None, []
     for k in range(1, ORDER + 1):
         own = model.grams.where(F.col("k") == k).select(by.alias("fold"), "hi", "lo", "mass")
         around = model.contexts.where(F.col("k") == k).select(by.alias("fold"), F.col("hi").alias("chi"), F.col("lo").alias("clo"), "total", "gamma")
@@ -319,6 +320,10 @@ def probabilities(needed: DataFrame, model: Model, swap: bool = True) -> DataFra
             rows = rows.join(below.select("fold", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("less")), ["fold", "shi", "slo"])
         p = F.coalesce(F.coalesce("mass", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("less"), "less")
         below = rows.select(*GRAM, p.alias("p"))
+        if k < ORDER:
+            below = table(below, "orders")
+            tables.append(below)
+    below.tables = tables
     return below
 
 
@@ -333,8 +338,9 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """h and units (the information in 2^-16 bits) of each n-gram of the documents."""
     every = counts(docs, text)
     model = fit(every)
-    found = table(probabilities(every, model).mapInArrow(_stored, "h long, units int"), "scores")
-    forget(model.contexts, *every.tables)
+    longest = probabilities(every, model)
+    found = table(longest.mapInArrow(_stored, "h long, units int"), "scores")
+    forget(model.contexts, *every.tables, *longest.tables)
     return found
 
 
@@ -481,13 +487,17 @@ def scored(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "l
     keep = list(dict.fromkeys([*(at[c] for c in carry), at[lang]]))
     schema = T.StructType([plain.schema[c] for c in keep] + [T.StructField(f"m_{k}", T.LongType()) for k in MEASURED])
     need = plain.select(*dict.fromkeys([*keep, at[text]]))
+    model = None
     if known.count() <= most:
         model = spark.sparkContext.broadcast(Hashes(known.toArrow()))
+        give_back()
         rows = need.mapInArrow(_scored(model, at[text], keep), schema)
     else:
         rows = _scored_blocks(need, known, at[text], keep, schema)
     rows = table(rows, "perplexity")
     forget(known)
+    if model:
+        model.destroy()
     rows = rows.withColumn("bits", F.col("m_units") / F.lit(float(UNIT)) / F.greatest(F.col("m_n_letters"), F.lit(1)))
     bands = small(fences(rows.where(F.col("m_n_words") >= MIN_WORDS), at[lang]))
     base = (F.col("m_n_words") < MIN_WORDS) | (100 * F.col("m_n_repeat_words") > MAX_REPEATED * F.col("m_n_words"))
