@@ -37,12 +37,19 @@ def modulo(a: str, b: str) -> str:
     return f"(({a}) % nullif({b}, 0))"
 
 
+#: From here on doubles have no fraction, and beyond 2^63 none fits in the whole numbers that floor and ceil give.
+LARGE = "4503599627370496D"
+#: The double before a half, so that adding it never rounds up what lies below a half.
+HALF = "0.49999999999999994D"
+
+
 def rounded(x: str, digits: str = "0") -> str:
-    """Half away from zero, after scaling by a power of ten."""
+    """Half away from zero, after scaling by a power of ten; large numbers, infinity and NaN stay as they are."""
     if digits == "0":
-        return f"(sign({x}) * floor(abs({x}) + 0.5D))"
+        return f"CASE WHEN abs({x}) < {LARGE} THEN sign({x}) * floor(abs({x}) + {HALF}) ELSE CAST({x} AS DOUBLE) END"
     scale = f"pow(10D, {digits})"
-    return f"(sign({x}) * floor(abs(({x}) * {scale}) + 0.5D) / {scale})"
+    scaled = f"(({x}) * {scale})"
+    return f"CASE WHEN abs{scaled} < {LARGE} THEN sign({x}) * floor(abs{scaled} + {HALF}) / {scale} WHEN abs{scaled} < DOUBLE('Infinity') THEN {scaled} / {scale} ELSE CAST({x} AS DOUBLE) END"
 
 
 def substr(x: str, start: str, count: str | None = None) -> str:
