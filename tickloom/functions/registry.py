@@ -43,6 +43,11 @@ LARGE = "4503599627370496D"
 HALF = "0.49999999999999994D"
 
 
+def whole(name: str, x: str) -> str:
+    """floor or ceil as a double; large numbers, infinity and NaN stay as they are."""
+    return f"CASE WHEN abs({x}) < {LARGE} THEN CAST({name}({x}) AS DOUBLE) ELSE CAST({x} AS DOUBLE) END"
+
+
 def rounded(x: str, digits: str = "0") -> str:
     """Half away from zero, after scaling by a power of ten; large numbers, infinity and NaN stay as they are."""
     if digits == "0":
@@ -135,9 +140,9 @@ SPACE = r"[\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\
 SCALARS: dict[str, Text] = {
     # numbers
     "abs": lambda x: f"abs({x})",
-    "floor": lambda x: f"CAST(floor({x}) AS DOUBLE)",
-    "ceil": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
-    "trunc": lambda x: f"(sign({x}) * floor(abs({x})))",
+    "floor": lambda x: whole("floor", x),
+    "ceil": lambda x: whole("ceil", x),
+    "trunc": lambda x: f"CASE WHEN abs({x}) < {LARGE} THEN sign({x}) * floor(abs({x})) ELSE CAST({x} AS DOUBLE) END",
     "round": rounded,
     "sqrt": lambda x: f"CASE WHEN ({x}) < 0 THEN DOUBLE('NaN') ELSE sqrt({x}) END",
     "ln": lambda x: guarded("ln", x),
