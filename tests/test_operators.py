@@ -13,6 +13,7 @@ from tickloom.operators.bars import latest, ohlcv, ordered_aggregate, rolled_up,
 from tickloom.operators.ema import ema
 from tickloom.operators.gapfill import gapfill
 from tickloom.operators.orderbook import KEPT, KEPT_US, Book, Message, Place, orderbook_top_n
+from tickloom.operators.ranges import range_aggregates
 
 
 def stamps(spark, rows, extra):
@@ -60,6 +61,19 @@ def test_window_join_is_brute_force(spark):
     assert {r[0]: (r[1], r[2]) for r in got.select("l.i", "w.n", "w.s").collect()} == {i: (len(v), sum(v) if v else None) for i, v in want.items()}
 
 
+@pytest.mark.parametrize(("low", "high"), [(-7, 0), (0, 7), (-5, 3), (-9, -2), (2, 30), (-1, 0), (-1000, 0)])
+def test_ranges_are_brute_force(spark, low, high):
+    rng = random.Random(low)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-40, 40)]), rng.choice([None, 1, 2, 3, 50])) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, k string, t long, x long").repartition(5)
+    got = {r[0]: tuple(r)[4:] for r in range_aggregates(df, ["k"], "t", low, high, {"n": ("count", "1"), "c": ("count", "x"), "s": ("sum", "x"), "l": ("min", "x"), "h": ("max", "x")}).collect()}
+    assert len(got) == len(rows)
+    for i, (k, t, _) in enumerate(rows):
+        near = [rx for rk, rt, rx in rows if rk == k and (rt is None if t is None else rt is not None and t + low <= rt <= t + high)]
+        x = [v for v in near if v is not None]
+        assert got[i] == (len(near), len(x), sum(x) if x else None, min(x, default=None), max(x, default=None))
+
+
 def test_gapfill_edges(spark):
     rows = stamps(spark, [(0, "a", 1.0), (30, "a", 4.0), (10, "b", None)], "k string, v double").select("ts", "k", "v")
     got = sorted((r[1], r[2]) for r in gapfill(rows, "ts", 10, ["k"], interpolate=["v"]).collect() if r[1] == "a")

@@ -101,6 +101,13 @@ def test_windows(s):
     assert rows(s, sql)[:3] == [("K", 30.0, 4, 0, 1), ("K", 31.5, 5, 30, 2), ("K", 29.25, 7, 33, 3)]
 
 
+def test_ranges_of_time(s):
+    over = "OVER (PARTITION BY shop ORDER BY ts {} RANGE BETWEEN {} AND {})"
+    back, ahead = over.format("", "INTERVAL '1 minute' PRECEDING", "CURRENT ROW"), over.format("DESC", "INTERVAL '60 seconds' PRECEDING", "INTERVAL '5 s' FOLLOWING")
+    got = rows(s, f"SELECT shop, price, sum(cups) {back} AS c, avg(price) FILTER (WHERE way = 'buy') {back} AS b, max(price) {ahead} + 1 AS m, count(*) {ahead} AS n FROM sales WHERE cups < 5 ORDER BY ts")
+    assert got == [("K", 30, 4, None, 34, 2), ("M", 12, 1, 12.0, 13, 1), ("K", 33, 5, 33.0, 34, 2), ("K", 27, 3, 30.0, 28, 1), ("K", 36, 3, None, 37, 1), ("M", 9, 2, 9.0, 10, 1)]
+
+
 def test_aggregates_over_windows(s):
     sql = """
       SELECT shop, corr(price, cups) OVER w AS c, count(DISTINCT way) OVER w AS d, uniq_exact(price) OVER w AS u, skewness(price) OVER w AS sk, kurtosis(price) OVER w AS ku,

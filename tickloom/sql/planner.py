@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
@@ -17,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import ORDERED
-from ..functions.registry import width_us
+from ..functions.registry import AGGREGATE_ALIASES, width_us
+from ..functions.times import us
 from ..functions.widths import micros
 from ..operators.asof import Side, asof_join, asof_joins, lookup_join, window_join
 from ..operators.ema import decay, ema
 from ..operators.gapfill import gapfill
+from ..operators.ranges import range_aggregates
 from .emit import Emit, has_aggregate, is_aggregate, quoted
 from .parser import Node, SqlError, rewrite, walk
 
@@ -154,11 +158,17 @@ class Planner:
 
     def statement(self, text: str) -> DataFrame:
         """A Spark statement in which integers wrap; the way of adding is settled as it is read."""
+        with self.wrapping():
+            return self.spark.sql(text)
+
+    @contextmanager
+    def wrapping(self) -> Iterator[None]:
+        """Integers wrap in what is made meanwhile."""
         conf, ansi = self.spark.conf, "spark.sql.ansi.enabled"
         before = conf.get(ansi)
         conf.set(ansi, "false")
         try:
-            return self.spark.sql(text)
+            yield
         finally:
             conf.set(ansi, before)
 
@@ -558,6 +568,10 @@ class Planner:
             scope, where = self.averaged(scope, alias, where, moving, emit)
         order_nodes = [o.expr for o in q.order]
         used = [i.expr for i in items] + ([s.having] if s.having else []) + order_nodes
+        if not (grouped or emit.streaming or where is not None and has_aggregate(where)):
+            ranges = {x: found for e in used for x in walk(e) if (found := self.time_range(x, emit))}
+            if ranges:
+                scope, where = self.ranged(scope, alias, where, ranges, emit)
         ordered = list(dict.fromkeys(x for e in used for x in walk(e) if x.kind == "func" and x.name in ORDERED and x.over is None))
         if ordered:
             from_, where = self.staged(ordered, group or [], emit, where, alias)
@@ -684,6 +698,52 @@ class Planner:
             emit.special[n] = f"_ema{k}"
         return scope, None
 
+    @staticmethod
+    def time_range(n: Node, emit: Emit) -> tuple[int, int] | None:
+        """The microseconds from and to which a call's frame reaches around each row, in its window's
+        order, if it is a range of time over which `ranged` can work the call out."""
+        if n.kind != "func" or n.over is None or AGGREGATE_ALIASES.get(n.name.removesuffix("_if"), n.name.removesuffix("_if")) not in ("count", "sum", "avg", "min", "max") or n.name == "count_if":
+            return None
+        w = emit.window(n.over)
+        if w.frame is None or w.frame[0] != "RANGE" or len(w.order) != 1 or n.params or n.within or (n.distinct and n.name not in ("min", "max")) or len(n.args) > 1 + n.name.endswith("_if"):
+            return None
+        ends = []
+        for way, x in w.frame[1:]:
+            if x is None and way == "CURRENT ROW":
+                ends.append(0)
+            elif x is not None and x.kind == "interval" and way in ("PRECEDING", "FOLLOWING"):
+                ends.append(micros(x.text) * (1 if way == "FOLLOWING" else -1))
+            else:
+                return None
+        return (ends[0], ends[1]) if ends[0] < ends[1] else None
+
+    def ranged(self, scope: Scope, alias: str, where: Node | None, ranges: dict[Node, tuple[int, int]], emit: Emit) -> tuple[Scope, None]:
+        """The relation with columns for aggregates over ranges of time; fills in their texts."""
+        together: dict[tuple, list[Node]] = {}
+        for n, ends in ranges.items():
+            w = emit.window(n.over)
+            together.setdefault((tuple(emit.many(w.partition)), emit(w.order[0].expr), bool(w.order[0].down), *ends), []).append(n)
+        for (by, order, down, low, high), calls in together.items():
+            k = next(_numbers)
+            keys = [f"_p{k}_{i}" for i in range(len(by))]
+            cols = [f"{p} AS {c}" for p, c in zip(by, keys, strict=True)] + [f"{'-' if down else ''}{us(order)} AS _o{k}"]
+            made: dict[str, tuple[str, str]] = {}
+            for i, n in enumerate(calls):
+                name, args, cond = emit.arguments(n)
+                name = AGGREGATE_ALIASES.get(name, name)
+                x = args[0] if args and not n.star else "1"
+                x = f"CAST({x} AS DOUBLE)" if name == "avg" else x
+                cols.append(f"{f'CASE WHEN {cond} THEN {x} END' if cond else x} AS _x{k}_{i}")
+                for part in ("sum", "count") if name == "avg" else (name,):
+                    made[f"_{part}{k}_{i}"] = (part, f"_x{k}_{i}")
+                emit.special[n] = f"(_sum{k}_{i} / _count{k}_{i})" if name == "avg" else f"_{name}{k}_{i}"
+            rows = self.run(f"SELECT *, {', '.join(cols)} FROM {{rel}}{f' WHERE {emit(where)}' if where is not None else ''}", scope.df, alias)
+            where = None
+            with self.wrapping():
+                rows = range_aggregates(rows, keys, f"_o{k}", low, high, made)
+            scope = Scope(rows, scope.tables, scope.structs, scope.extra)
+        return scope, None
+
     # ------------------------------------------------------------ gap filling
 
     def filled(self, s: Node, q: Node, scope: Scope, items: list[Node], names: list[str], group: list[Node] | None) -> DataFrame:
