@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tickloom.operators.asof import asof_join, window_join
 from tickloom.operators.bars import latest, ohlcv, ordered_aggregate, rolled_up, sessions
 from tickloom.operators.ema import ema
 from tickloom.operators.gapfill import gapfill
-from tickloom.operators.orderbook import KEPT, KEPT_US, Book, Message, Place, orderbook_top_n
+from tickloom.operators.orderbook import KEPT, KEPT_US, Book, Ladder, Message, Place, levels, orderbook_top_n
 from tickloom.operators.ranges import range_aggregates
 
 
@@ -144,6 +145,29 @@ def test_book_rules():
     assert book.message(said((9, 9), True, [(20.0, 6.0)], [(21.5, 1.0)])) == (((20.75, 1.0), (18.0, 5.0)), ((21.5, 1.0),))
 
 
+def test_levels_below_the_top_make_no_new_top(monkeypatch):
+    made, top = [], Ladder.top
+    monkeypatch.setattr(Ladder, "top", lambda self, n: made.append(n) or top(self, n))
+    book = Book(2)
+    book.message(said((1, 1), True, [(50.0, 1.0), (49.0, 1.0)], [(60.0, 1.0)]))
+    assert all(book.message(said((k, k), False, [(float(40 - k), 1.0)])) is None for k in range(2, 30))
+    assert len(made) == 2
+    assert book.message(said((30, 30), False, [(49.0, 0.0)])) == (((50.0, 1.0), (38.0, 1.0)), ((60.0, 1.0),))
+
+
+def test_levels_of_messages():
+    kind = pa.list_(pa.float64())
+    prices = pa.array([[9.0], [1.0, 2.0], None, [], [3.0], [None, 4.0]], kind).slice(1)
+    amounts = pa.array([[9.0], [5.0], [1.0], [1.0], [4.0], [6.0, 7.0]], kind).slice(1)
+    assert repr([tuple(x) for x in levels(prices, amounts)]) == "[((1.0, 5.0),), (), (), ((3.0, 4.0),), ((nan, 6.0), (4.0, 7.0))]"
+
+
+def test_books_leave_out_null_levels(spark):
+    rows = [("x", 1, True, 1, 1, [None, 5.0], [1.0, 2.0], None, None, 1), ("x", 1, None, 2, 2, None, None, [7.0], [None], 2), ("x", 1, False, 3, 3, None, None, [7.0, 8.0], [3.0, 4.0], 3)]
+    df = spark.createDataFrame(rows, "exchange string, symbol long, is_snapshot boolean, time long, venue_sequence long, bid_price array<double>, bid_amount array<double>, ask_price array<double>, ask_amount array<double>, local_timestamp long")
+    assert [tuple(r) for r in orderbook_top_n(df, 1).orderBy("time").collect()] == [("x", 1, 1, 1, [5.0], [2.0], [], []), ("x", 1, 3, 3, [5.0], [2.0], [7.0], [3.0])]
+
+
 def test_late_snapshots_need_all_changes():
     book = Book(1)
     book.message(said((0, 1), True, [(5.0, 1.0)]))
